@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilstream.llm import op6_mixing
+from veilstream.llm import op1_sharding, op6_mixing, op7_jpeg
 
 #: Modules that register a query, in order.
-MODULES = [op6_mixing]
+MODULES = [op1_sharding, op6_mixing, op7_jpeg]
 
 
 def queries() -> dict:
