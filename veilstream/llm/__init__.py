@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilstream.llm import op1_sharding, op2_topk, op5_chat, op6_mixing, op7_jpeg
+from veilstream.llm import op1_sharding, op2_topk, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing
 
 #: Modules that register a query, in order.
-MODULES = [op1_sharding, op2_topk, op5_chat, op6_mixing, op7_jpeg]
+MODULES = [op1_sharding, op2_topk, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing]
 
 
 def queries() -> dict:
