@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from veilstream.session import materialize
 
-DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS = 8192, 3, 500, 12, 0.5, 400
+DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS = 8192, 3, 500, 12, 0.25, 400
 UNKNOWN = "und"
 SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
