@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilstream.llm import op1_sharding, op2_topk, op3_secrets, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing
+from veilstream.llm import op1_sharding, op2_topk, op3_secrets, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing, op10_jaccard
 
 #: Modules that register a query, in order.
-MODULES = [op1_sharding, op2_topk, op3_secrets, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing]
+MODULES = [op1_sharding, op2_topk, op3_secrets, op4_license, op5_chat, op6_mixing, op7_jpeg, op8_language, op9_packing, op10_jaccard]
 
 
 def queries() -> dict:
