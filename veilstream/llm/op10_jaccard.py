@@ -238,7 +238,7 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray, least: float) -> tuple
     keep = shared[number]
     number, owner = (np.cumsum(shared) - 1)[number[keep]], owner[keep]
     both = np.zeros((n, n), np.float32)
-    width = max(1, (16 << 20) // (4 * n))
+    width = max(1, min(int(shared.sum()), (16 << 20) // (4 * n)))
     for a in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(number, [a, a + width])
         table = np.zeros((n, width), np.float32)
