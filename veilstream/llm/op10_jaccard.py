@@ -378,9 +378,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each class of near copies: the one with the smallest id, then the first."""
     rows = near_copies(docs, doc_id, text)
     first = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))).alias("first"))
-    kept = materialize(first.select(F.col("first.place").alias("__near_place")), "kept")
+    gone = materialize(rows.join(first, "class_key").filter(F.col("place") != F.col("first.place")).select(F.col("place").alias("__near_place")), "gone")
+    few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     places = docs.withColumn("__near_place", F.monotonically_increasing_id())
-    return places.join(kept, "__near_place", "left_semi").drop("__near_place")
+    return places.join(F.broadcast(gone) if few else gone, "__near_place", "left_anti").drop("__near_place")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

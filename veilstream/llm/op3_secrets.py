@@ -23,8 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilstream.session import materialize
+
 REACH = 300
 MARK = "[secret]"
+#: Up to this many spans (about 30 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_SPANS = 100_000
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -91,7 +95,9 @@ def _named(spans: Column) -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; texts without spans and nulls stay as they are."""
     spans = secret_spans(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("place").alias("__secret_place"), F.col("spans").alias("__secret_spans"))
-    rows = docs.withColumn("__secret_place", F.monotonically_increasing_id()).join(spans, "__secret_place", "left")
+    spans = materialize(spans, "spans")
+    few = (spans.agg(F.sum(F.size("__secret_spans"))).first()[0] or 0) <= BROADCAST_SPANS
+    rows = docs.withColumn("__secret_place", F.monotonically_increasing_id()).join(F.broadcast(spans) if few else spans, "__secret_place", "left")
     value = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
