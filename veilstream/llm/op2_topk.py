@@ -13,7 +13,7 @@ plus the remaining bounds still reaches the threshold. A row equal to the thresh
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part; missing dimensions of
 shorter vectors count as 0. Ties go to the smaller id, null ids last. A row is no candidate for itself alone: rows that
-repeat are told apart by position. Scores beyond 64 bits are held at the ends of that range. Fewer than k candidates
+repeat are told apart by position. Scores beyond 64 bits are held at the ends of that range, and tie there. Fewer than k candidates
 give fewer rows; an empty table none.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from veilstream.session import materialize
 
 K, SCALE, QUERY_EVERY = 20, 64.0, 20
+LEAST, MOST = -(2**63), 2**63 - 1
 SHARD_ROWS, BLOCK_ROWS, PROBE_TERMS, SEED_TERMS, SEED_ROWS = 8192, 2048, 8, 4, 32
 
 
@@ -83,9 +84,13 @@ class Shard:
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, scores) of the k best rows, exactly; ``own`` is the query's position."""
+        if self.rows.dtype == object:  # whole numbers beyond floating point: no bounds, and scores held to 64 bits
+            scores = [max(LEAST, min(MOST, int(s))) for s in self.rows @ query]
+            best = sorted((i for i in range(len(scores)) if self.positions[i] != own), key=lambda i: (-scores[i], self.order[i]))[:k]
+            return np.array(best, np.int64), np.array([scores[i] for i in best], object)
         bound = np.maximum(np.maximum(query * self.high, query * self.low), 0)
         by_bound = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[by_bound][::-1])[::-1], bound[:0].sum(keepdims=True) if bound.dtype != object else np.array([0], object)])
+        rest = np.append(np.cumsum(bound[by_bound][::-1])[::-1], 0).astype(bound.dtype)
         seeds = np.unique(np.concatenate([np.arange(min(k + 1, len(self.rows))), *((self.tops if query[t] > 0 else self.bottoms)[t] for t in by_bound[:SEED_TERMS])]).astype(np.int64))
         seeds = seeds[self.positions[seeds] != own]
         first = self.rows[seeds] @ query
@@ -134,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
             shard = Shard(data, ids, some.column("place").to_numpy())
             for query_id, place, query in zip(asked_ids, asked.column("place").to_pylist(), queries, strict=True):
                 for row, score in zip(*shard.search(query, place, k), strict=True):
-                    for column, value in zip(out, (query_id, place, ids[row], int(shard.positions[row]), max(-(2**63), min(2**63 - 1, int(score)))), strict=True):
+                    for column, value in zip(out, (query_id, place, ids[row], int(shard.positions[row]), int(score)), strict=True):
                         column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (asked.schema.field("vec_id").type, pa.int64(), some.schema.field("vec_id").type, pa.int64(), pa.int64()), strict=True)], names=["query_id", "query_place", "vec_id", "place", "score"])
 
