@@ -6,9 +6,10 @@ takes ``floor(target / size)`` complete epochs of all its documents; the rest of
 sampling without replacement. The sampling key is ``-ln(u) / quality`` with ``u`` from a hash of seed, id and
 text, so reruns agree. Keys are sorted within the source and prefix-summed to the rest of the target.
 
-No task sorts a whole source: keys are cut into ``BUCKETS`` ranges by a monotone function, words are summed for
-each (source, range), and only the one range that holds the boundary is sorted row by row. What comes out is a
-threshold per source, and the final pass is a map over the documents with the table of sources.
+No task sorts a whole source: keys are cut into ``RANGES`` ranges by a monotone function and words are summed for each
+(source, range); the one range that holds the boundary is cut again, ``DEPTH`` times in all, and only what is left
+is sorted row by row. What comes out is a threshold per source, and the final pass is a map over the documents with
+the table of sources.
 
 Defined results: a null or empty text has size 0 and is never taken. A null source is a source of its own, the last
 one. Rows that repeat in id and text share a key and stand or fall together. An empty table gives an empty
@@ -26,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-BUCKETS = 65536
+RANGES, DEPTH = 64, 3
 #: Tables of sources up to this many rows are broadcast (about 100 bytes a row); larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -77,21 +78,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def thresholds(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, size, key) and targets to (source, source_size, target, epochs, last_key): what the mix takes."""
     spark = keyed.sparkSession
+    levels = []
+    for n in range(1, DEPTH + 1):  # at most RANGES sums a source; the range with sum before < rest <= sum up to it is the next to be cut
+        finer = RANGES ** (DEPTH - n)
+        levels.append(f"""
+        sums{n} AS (
+          SELECT c.source, e.ahead, e.rest, c.bucket div {finer} AS bucket, sum(c.size) AS words
+          FROM cut c JOIN edge{n - 1} e ON c.source <=> e.source AND c.bucket div {finer * RANGES} = e.bucket GROUP BY ALL),
+        run{n} AS (
+          SELECT *, ahead + coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums{n}),
+        edge{n} AS (SELECT source, bucket, before AS ahead, rest FROM run{n} WHERE before < rest AND rest <= before + words)""")
     return spark.sql(
         f"""
         WITH goal AS (
           SELECT *, CASE WHEN source_size = 0 THEN 0L ELSE CAST(floor(target / source_size) AS BIGINT) END AS epochs FROM {{targets}}),
         goals AS (SELECT *, target - epochs * source_size AS rest FROM goal),
-        cut AS (SELECT source, size, key, CAST(floor({BUCKETS} * (key / (1 + key))) AS INT) AS bucket FROM {{keyed}} WHERE size > 0),
-        sums AS (SELECT source, bucket, sum(size) AS words FROM cut GROUP BY source, bucket),
-        run AS (
-          SELECT source, bucket, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM sums),
-        edge AS (
-          SELECT r.source, r.bucket, r.ahead, g.rest FROM run r JOIN goals g ON r.source <=> g.source
-          WHERE r.ahead < g.rest AND g.rest <= r.ahead + r.words),
+        cut AS (SELECT source, size, key, CAST(floor({RANGES**DEPTH} * (key / (1 + key))) AS BIGINT) AS bucket FROM {{keyed}} WHERE size > 0),
+        edge0 AS (SELECT source, 0L AS bucket, 0L AS ahead, rest FROM goals WHERE rest > 0),
+        {", ".join(levels)},
         fine AS (
           SELECT e.source, c.key, c.size, e.rest, e.ahead + sum(c.size) OVER (PARTITION BY e.source ORDER BY c.key ROWS UNBOUNDED PRECEDING) AS upto
-          FROM cut c JOIN edge e ON c.source <=> e.source AND c.bucket = e.bucket),
+          FROM cut c JOIN edge{DEPTH} e ON c.source <=> e.source AND c.bucket = e.bucket),
         chosen AS (
           SELECT source, max(CASE WHEN upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size)) THEN key END) AS last_key,
             min(key) AS first_key FROM fine GROUP BY source)
