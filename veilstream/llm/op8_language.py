@@ -1,6 +1,7 @@
 """Language ID: nearest of several centroids per language by cosine over TF-IDF vectors of character n-grams.
 
-A text is lowered, runs of anything but letters become one space, and all its 2- and 3-grams are hashed into
+A text is lowered, words with digits in them (numbers, keys, digests) and runs of anything but letters become one
+space, and all its 2- and 3-grams are hashed into
 ``DIMS`` buckets; a vector is log(1 + count) * idf, normalised. Training takes at most ``SAMPLE`` documents a label, those
 with the smallest hash of their id, so the bound is a parameter and not a prefix; whole texts count. Each label's
 vectors are split by spherical k-means into ``CENTROIDS`` clusters. Both steps of training run as one group a label on
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 
 from veilstream.session import materialize
 
-DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS = 8192, 3, 500, 12, 0.25, 400
+DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS = 8192, 3, 1000, 12, 0.25, 400
 UNKNOWN = "und"
 SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
@@ -46,6 +47,17 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
     return _LETTERS[0][points]
 
 
+def _plain(points: np.ndarray) -> np.ndarray:
+    """Letters as they are, all else a space; letters of words with digits too. A zero ends a text and stays."""
+    letter = _is_letter(points)
+    digit = (points >= 48) & (points <= 57)
+    if digit.any():
+        inside = letter | digit
+        word = np.cumsum(inside & ~np.append(False, inside[:-1]))
+        letter &= np.bincount(word, digit & inside, int(word[-1]) + 1)[word] == 0
+    return np.where(letter, points, np.uint32(32))
+
+
 def _bucket(points: np.ndarray) -> np.ndarray:
     """Buckets of 2-grams and 3-grams, at the place of their first character; the end has fewer."""
     a = points * np.uint32(2654435761)
@@ -60,10 +72,13 @@ def counts(texts: list[str]) -> np.ndarray:
     out = np.zeros(len(texts) * DIMS, np.int64)
     for row, text in enumerate(texts):  # long texts piece by piece, with an overlap of two characters
         if len(text) > SLICE_CHARS:
-            carry = np.full(1, 32, np.uint32)
-            for i in range(0, len(text) + 1, SLICE_CHARS):
-                points = np.frombuffer((text[i : i + SLICE_CHARS].lower() + (" " if i + SLICE_CHARS > len(text) else "")).encode("utf-32-le", "replace"), np.uint32)
-                points = np.concatenate([carry, np.where(_is_letter(points), points, 32)])
+            carry, i = np.full(1, 32, np.uint32), 0
+            while i < len(text):
+                j = text.rfind(" ", i, i + SLICE_CHARS) + 1 if i + SLICE_CHARS < len(text) else len(text)
+                j = j if j > i else min(len(text), i + SLICE_CHARS)  # between words if there is a space
+                points = np.frombuffer((text[i:j].lower() + (" " if j == len(text) else "")).encode("utf-32-le", "replace"), np.uint32)
+                i = j
+                points = np.concatenate([carry, _plain(points)])
                 keep = (points != 32) | np.append(True, points[:-1] != 32)
                 keep[: len(carry)] = True
                 points = points[keep]
@@ -79,7 +94,7 @@ def counts(texts: list[str]) -> np.ndarray:
         if int(cut.sum()) != len(texts) - 1:  # texts with zero characters of their own
             whole = np.frombuffer((" " + "\0".join(t.replace("\0", " ") for t in short) + " ").encode("utf-32-le", "replace"), np.uint32)
             cut = whole == 0
-        plain = np.where(_is_letter(whole), whole, np.uint32(32))
+        plain = _plain(whole)
         keep = (plain != 32) | np.append(True, (plain[:-1] != 32) | cut[:-1]) | cut
         doc = np.cumsum(cut)[keep] * DIMS
         plain = plain[keep]
@@ -159,8 +174,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = materialize(rows.select("id", "lang").distinct().withColumn("n", first).filter(F.col("n") <= sample).drop("n"), "language-ids")
+    pairs = rows.select("id", "lang").distinct()
+    # Of a frequent label only the ids with a small hash can be among the first: four times as many as are needed.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count("*"))
+    shares = materialize(pairs.groupBy("lang").agg(share.alias("share")), "language-shares")
+    small = (F.shiftrightunsigned(F.xxhash64("id"), 11) / float(2**53)) < F.col("share")
+    order = F.shiftrightunsigned(F.xxhash64("id"), 11)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
+    ids = materialize(pairs.join(shares, "lang").filter(small).drop("share").withColumn("n", first).filter(F.col("n") <= sample).drop("n"), "language-ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_SAMPLE else ids
     again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))  # ids may repeat
     picked = rows.join(chosen, ["id", "lang"]).filter(F.col("text").rlike(r"\p{L}")).withColumn("n", again).filter(F.col("n") <= sample)
