@@ -35,8 +35,8 @@ from veilstream.session import materialize
 
 CAPACITY, CLOSING = 2048, 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Pieces that one salted group holds at most of the most frequent length, on average.
-GROUP_ROWS = 100_000
+#: Pieces of one length that a salted group holds on average at most.
+GROUP_ROWS = 2000
 _FAST = re.compile("[\x00-ɏ]*")
 
 
@@ -132,10 +132,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with the sequence and the offset that they take; ``length`` is at most ``capacity``. Further columns stay."""
     rows = materialize(pieces.withColumn("__pack_place", F.monotonically_increasing_id()), "pieces")
-    histogram = {int(r["length"]): r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots, _ = plan(histogram, capacity)
-    salts = max(1, -(-max(histogram.values(), default=0) // GROUP_ROWS))
-    salted = rows.withColumn("__pack_salt", F.pmod(F.xxhash64("__pack_place"), F.lit(salts)).cast("int"))
+    counts = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    slots, _ = plan({int(r["length"]): r["n"] for r in counts}, capacity)
+    groups = rows.sparkSession.createDataFrame([(int(r["length"]), -(-r["n"] // GROUP_ROWS)) for r in counts], "length long, __pack_groups long")
+    salt = F.pmod(F.xxhash64("__pack_place"), F.col("__pack_groups"))
+    salted = rows.join(F.broadcast(groups), "length").withColumn("__pack_salt", salt).drop("__pack_groups")
     before = Window.partitionBy("length").orderBy("__pack_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.groupBy("length", "__pack_salt").agg(F.count("*").alias("n")).withColumn("__pack_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "__pack_salt").orderBy("__pack_place")) - 1
