@@ -129,19 +129,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     dealt = lambda seed, parts: F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.select("vec_id", "vector", "place", dealt("shard", shards).alias("shard"), each(blocks).alias("block"))
-    right = rows.filter("asks").select("vec_id", "vector", "place", each(shards).alias("shard"), dealt("block", blocks).alias("block"))
+    # Columns of their own: with shared ones Spark prunes what a side needs where the result's columns aren't read.
+    right = rows.filter("asks").select(F.col("vec_id").alias("asked_id"), F.col("vector").alias("asked_vector"), F.col("place").alias("asked_place"), each(shards).alias("shard"), dealt("block", blocks).alias("block"))
 
     def run(some: pa.Table, asked: pa.Table) -> pa.Table:
         ids = some.column("vec_id").to_pylist()
-        asked_ids, out = asked.column("vec_id").to_pylist(), ([], [], [], [], [])
+        asked_ids, out = asked.column("asked_id").to_pylist(), ([], [], [], [], [])
         if ids and asked_ids:
-            data, queries = _typed(integers(some.column("vector")), integers(asked.column("vector")))
+            data, queries = _typed(integers(some.column("vector")), integers(asked.column("asked_vector")))
             shard = Shard(data, ids, some.column("place").to_numpy())
-            for query_id, place, query in zip(asked_ids, asked.column("place").to_pylist(), queries, strict=True):
+            for query_id, place, query in zip(asked_ids, asked.column("asked_place").to_pylist(), queries, strict=True):
                 for row, score in zip(*shard.search(query, place, k), strict=True):
                     for column, value in zip(out, (query_id, place, ids[row], int(shard.positions[row]), int(score)), strict=True):
                         column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (asked.schema.field("vec_id").type, pa.int64(), some.schema.field("vec_id").type, pa.int64(), pa.int64()), strict=True)], names=["query_id", "query_place", "vec_id", "place", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (asked.schema.field("asked_id").type, pa.int64(), some.schema.field("vec_id").type, pa.int64(), pa.int64()), strict=True)], names=["query_id", "query_place", "vec_id", "place", "score"])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"query_id {kind}, query_place long, vec_id {kind}, place long, score long")
     rank = F.row_number().over(Window.partitionBy("query_place").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "place"))
