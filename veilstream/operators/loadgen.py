@@ -7,6 +7,7 @@ and again after a lost task.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,3 +95,20 @@ def stream(spark: SparkSession, load: Load) -> DataFrame:
 def truth(spark: SparkSession, load: Load, size: str = WINDOW) -> DataFrame:
     """What must come out."""
     return truth_cells(unique_events(spark, load), size)
+
+
+def feed(spark: SparkSession, load: Load, folder: str, batches_per_file: int = 10, paced: bool = False) -> int:
+    """Drop the stream as files in order of time, an open loop: paced, each file when its last event is due, late ones at once.
+
+    Returns the number of files.
+    """
+    events = stream(spark, load).drop("copy", "n")
+    files = -(-load.batches // batches_per_file)
+    began = time.monotonic()
+    for k in range(files):
+        due = (k + 1) * batches_per_file * load.batch_size / load.rate
+        if paced and (wait := began + due - time.monotonic()) > 0:
+            time.sleep(wait)
+        part = events.filter(F.col("batch_id").between(k * batches_per_file, (k + 1) * batches_per_file - 1)).drop("batch_id")
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return files

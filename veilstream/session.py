@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,34 @@ def local_session(cpus: str | int = 8, partitions: int = 8) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="veilstream-")) / "veilstream_package.zip"  # the driver serves it from here
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.add(app)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, with the package on the executors."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
