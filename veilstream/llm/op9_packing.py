@@ -36,7 +36,7 @@ from veilstream.session import materialize
 CAPACITY, CLOSING = 2048, 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Pieces of one length that a salted group holds on average at most.
-GROUP_ROWS = 2000
+GROUP_ROWS = 500
 _FAST = re.compile("[\x00-ɏ]*")
 
 
