@@ -2,7 +2,7 @@
 
 Every write goes to ``batch=<id>`` and replaces that batch, so a replay changes nothing. A reader takes, per key, the row of
 the highest batch: a later flush replaces values, it never adds to them. Progress is written after the cells that
-it stands for.
+it stands for. ``compact`` folds finished batches into one base, so that readers don't meet ever more folders.
 """
 
 from __future__ import annotations
@@ -33,10 +33,44 @@ class CellStore:
         days.write.mode("overwrite").partitionBy("window_date").parquet(f"{self.path}/agg_cells/batch={batch}")
         progress.select(*[F.col(f.name).cast(f.dataType) for f in PROGRESS.fields]).write.mode("overwrite").parquet(f"{self.path}/progress/batch={batch}")
 
-    def _read(self, name: str, schema) -> DataFrame:
-        if not self._exists(name):
+    def _batches(self, name: str) -> list[int]:
+        """Finished batches of a folder."""
+        at = self._path_of(f"{self.path}/{name}")
+        if not self._fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(at) if s.isDirectory()]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and self._exists(f"{name}/{n}/_SUCCESS"))
+
+    def _read(self, name: str, schema: StructType) -> DataFrame:
+        """The last base and the batches after it."""
+        base = max(self._batches(f"{name}_base"), default=None)
+        folders = [f"{name}/batch={b}" for b in self._batches(name) if base is None or b > base]
+        parts = [self.spark.read.option("basePath", f"{self.path}/{name}").schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])] if folders else []
+        if base is not None:
+            parts.append(self.spark.read.option("basePath", f"{self.path}/{name}_base").schema(schema).parquet(f"{self.path}/{name}_base/batch={base}"))
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("basePath", f"{self.path}/{name}").schema(schema).parquet(f"{self.path}/{name}")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def compact(self) -> int | None:
+        """Fold all batches whose progress is written into a base, then delete them; returns the base's batch.
+
+        The base counts from the moment its success marker stands, which Spark writes last. To be run by one job at a time.
+        """
+        done = self._batches("progress")
+        if not done:
+            return None
+        last = done[-1]
+        rows = self._read("agg_cells", _with(AGG_CELLS, ("batch", "long"), ("window_date", "date"))).filter(F.col("batch") <= last)
+        value = F.struct("events", "users", "users_hll")
+        cells = rows.groupBy(*AGG_KEY).agg(F.max_by(value, "batch").alias("v")).select(*AGG_KEY, "v.*").withColumn("window_date", F.to_date("window_start"))
+        if last not in self._batches("agg_cells_base"):
+            cells.repartition("window_date").sortWithinPartitions("window_date", "level", "family", "wiki").write.mode("overwrite").partitionBy("window_date").parquet(f"{self.path}/agg_cells_base/batch={last}")
+        for name in ("agg_cells", "agg_cells_base"):
+            for b in self._batches(name):
+                if b < last or (b == last and name == "agg_cells"):
+                    self._fs.delete(self._path_of(f"{self.path}/{name}/batch={b}"), True)
+        return last
 
     def cells(self, window_start=None) -> DataFrame:
         """Current partial rows; with a window only its day is read."""
@@ -63,12 +97,12 @@ class CellStore:
 
     def drop_before(self, day: dt.date) -> int:
         """Retention: delete whole days before ``day``; returns how many folders went."""
-        gone, at = 0, self._path_of(f"{self.path}/agg_cells")
-        if self._fs.exists(at):
-            for batch in self._fs.listStatus(at):
-                for folder in self._fs.listStatus(batch.getPath()) if batch.isDirectory() else []:
-                    name = folder.getPath().getName()
-                    if name.startswith("window_date=") and name[12:22] < day.isoformat():
+        gone = 0
+        for name in ("agg_cells", "agg_cells_base"):
+            for b in self._batches(name):
+                for folder in self._fs.listStatus(self._path_of(f"{self.path}/{name}/batch={b}")):
+                    at = folder.getPath().getName()
+                    if at.startswith("window_date=") and at[12:22] < day.isoformat():
                         gone += self._fs.delete(folder.getPath(), True)
         return gone
 
