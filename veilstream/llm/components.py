@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a minimum per node (partially aggregated) and a join; neither links nor components ever leave the
-executors. Edges are written to the shared folder after each round, so a lost executor costs at most one round.
+executors. Edges and minima are written to the shared folder, so a lost executor costs at most one step, and the joins
+have two plain exchanges, of which Spark can split the partition of a node with very many links.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # Large star: every larger neighbour of u moves to the least of u and its neighbours.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
         # Small star: every smaller neighbour of u, and u, moves to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = materialize(small.distinct(), "edges")
         state = _state(after)

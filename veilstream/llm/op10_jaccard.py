@@ -368,16 +368,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     exact = _exact(docs, text, nodes, near)
     links = exact.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(exact.filter("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("key"), "root")
-    rows = signed.select("key", "place", "doc_id").join(links.join(roots, "key", "left"), "key", "left")
+    found = materialize(links.join(roots, "key", "left"), "found")  # a plain side, so that Spark can split a text with many copies
+    rows = signed.select("key", "place", "doc_id").join(found, "key", "left")
     rows = materialize(rows.select("place", "doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    # Written first, so that the join has two plain exchanges and Spark can split the partition of a large class.
+    classes = materialize(rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return rows.join(classes, "class_key").select("place", "doc_id", F.col("key").alias("text_key"), "class_key", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest id, then the first."""
     rows = near_copies(docs, doc_id, text)
-    first = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))).alias("first"))
+    first = materialize(rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))).alias("first")), "first")
     gone = materialize(rows.join(first, "class_key").filter(F.col("place") != F.col("first.place")).select(F.col("place").alias("__near_place")), "gone")
     few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     places = docs.withColumn("__near_place", F.monotonically_increasing_id())
