@@ -19,7 +19,6 @@ long texts are read whole, a few MB at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,6 @@ SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
 BROADCAST_SAMPLE = 50_000
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS: list[np.ndarray] = []
 
 
@@ -151,7 +149,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(label, cosine, rejected) of each text."""
-        known = [bool(t and _LETTER.search(t)) and bool(self.langs) for t in texts]
+        known = [any(map(str.isalpha, t or "")) and bool(self.langs) for t in texts]
         near, reach, best = np.zeros(len(texts)), np.ones(len(texts)), np.zeros(len(texts), np.int64)
         some = [i for i, k in enumerate(known) if k]
         plain = [texts[i] for i in some]
