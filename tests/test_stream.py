@@ -63,6 +63,19 @@ def test_restarts_lose_and_repeat_nothing(spark, tmp_path):
             stats.stats(last, *bad)
 
 
+def test_stored_sketches(spark, tmp_path):
+    _, end = drops(spark, tmp_path / "in")
+    end.write.parquet(f"{tmp_path}/in/part=9")
+    store = CellStore(spark, f"file://{tmp_path}/store")
+    start(stream_cells(prepare(stream(spark, tmp_path / "in")), sketches=True), store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert reconcile.reconcile(loadgen.truth(spark, LOAD), store.cells())["passed"]
+    stats = Stats(store, Settings(privacy_k=10))
+    for level in (0, 1):
+        exact, sketched = (stats.stats(dt.datetime(2026, 1, 1, 0, 1), level, estimator=e).collect() for e in ("exact", "hll"))
+        assert [(r["kind"], r["family"], r["events"]) for r in exact] == [(r["kind"], r["family"], r["events"]) for r in sketched]
+        assert all(abs(a["users"] - b["users"]) <= max(2, 0.07 * a["users"]) for a, b in zip(exact, sketched, strict=True))
+
+
 def test_drift_is_an_error(spark):
     truth = loadgen.truth(spark, LOAD)
     short = truth.withColumn("kpartition", F.lit(0)).filter("level < 3")

@@ -87,12 +87,25 @@ def estimate(sketches: DataFrame, keys: list[str], precision: int = HLL_PRECISIO
     return sums.select(*keys, F.when((raw <= 2.5 * m) & (zeros > 0), linear).otherwise(raw).alias("estimate"))
 
 
+def sketch_bytes(filled: Column, precision: int = HLL_PRECISION) -> Column:
+    """A byte of precision, then a byte for each register, from an array of (idx, rho) of the filled ones."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(pairs) -> bytes:
+            values = np.zeros(1 << precision, np.uint8)
+            for pair in pairs:
+                values[pair["idx"]] = pair["rho"]
+            return pack(values, precision)
+
+        return rows.map(one)
+
+    return run(filled)
+
+
 def to_bytes(sketches: DataFrame, keys: list[str], precision: int = HLL_PRECISION) -> DataFrame:
-    """(keys, users_hll): a byte of precision, then a byte for each register."""
-    m = 1 << precision
-    place = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("__map", i.cast("int")), F.lit(0))), 2, "0"))
-    maps = sketches.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("idx", "rho"))).alias("__map"))
-    return maps.select(*keys, F.unhex(F.concat(F.lit(f"{precision:02X}"), F.array_join(place, ""))).alias("users_hll"))
+    """(keys, users_hll). A sketch has at most 2**precision rows, so none is large."""
+    return sketches.groupBy(*keys).agg(F.collect_list(F.struct("idx", "rho")).alias("__filled")).select(*keys, sketch_bytes(F.col("__filled"), precision).alias("users_hll"))
 
 
 def from_bytes(rows: DataFrame, keys: list[str], sketch: str = "users_hll") -> DataFrame:

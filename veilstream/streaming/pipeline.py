@@ -37,13 +37,22 @@ def deduplicated(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS
     return windowed.dropDuplicates(["w", "event_id"])
 
 
-def stream_cells(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
-    """(window_start, level, family, wiki, namespace, kpartition, events, users) of closed windows."""
+def stream_cells(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS, sketches: bool = False) -> DataFrame:
+    """(window_start, level, family, wiki, namespace, kpartition, events, users[, users_hll]) of closed windows.
+
+    With sketches, users are summed by register first: a cell's sketch is gathered from at most 4,096 rows.
+    """
     cells = fan_out(deduplicated(events, size, lateness).select("w", "family", "wiki", "namespace", "kpartition", "user"))
     keys = ["w", *CELL, "kpartition"]
     per_user = cells.groupBy(*keys, "user").agg(F.count("*").alias("n"))
-    summed = per_user.groupBy(*keys).agg(F.sum("n").cast("long").alias("events"), F.count("*").alias("users"))
-    return summed.select(F.col("w.start").alias("window_start"), *CELL, "kpartition", "events", "users")
+    columns = [F.col("w.start").alias("window_start"), *CELL, "kpartition", "events", "users"]
+    if not sketches:
+        return per_user.groupBy(*keys).agg(F.sum("n").cast("long").alias("events"), F.count("*").alias("users")).select(*columns)
+    idx, rho = hll.register(F.col("hash"))
+    hashed = per_user.withColumn("hash", hll.hash64(F.col("user"))).select(*keys, "n", idx.alias("idx"), rho.alias("rho"))
+    by_register = hashed.groupBy(*keys, "idx").agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.max("rho").alias("rho"))
+    summed = by_register.groupBy(*keys).agg(F.sum("n").cast("long").alias("events"), F.sum("m").cast("long").alias("users"), F.collect_list(F.struct("idx", "rho")).alias("filled"))
+    return summed.select(*columns, hll.sketch_bytes(F.col("filled")).alias("users_hll"))
 
 
 def stream_sketches(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
