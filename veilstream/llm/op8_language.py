@@ -13,7 +13,8 @@ square root of the share of ``FULL_GRAMS`` distinct n-grams that the text has, s
 is still far from any centroid.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected. Rows without label or id
-don't train. Ties go to the first label in code point order. Without training rows every text is ``und``. Very
+don't train. Ties go to the first label in code point order. Without training rows every text is ``und`` with score 0, and only
+those without letters are rejected. Very
 long texts are read whole, a few MB at a time.
 """
 
@@ -149,7 +150,8 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(label, cosine, rejected) of each text."""
-        known = [any(map(str.isalpha, t or "")) and bool(self.langs) for t in texts]
+        letters = [any(map(str.isalpha, t or "")) for t in texts]
+        known = letters if self.langs else [False] * len(texts)
         near, reach, best = np.zeros(len(texts)), np.ones(len(texts)), np.zeros(len(texts), np.int64)
         some = [i for i, k in enumerate(known) if k]
         plain = [texts[i] for i in some]
@@ -158,7 +160,7 @@ class LanguageModel:
             cosine = rows @ self.centroids.T
             best[some[i:j]] = np.argmax(cosine, axis=1)
             near[some[i:j]] = np.clip(cosine.max(1), 0, 1)
-        rejected = ~np.array(known, bool) | (near < self.floors[best] * reach if self.langs else True)
+        rejected = ~np.array(letters, bool) | (near < self.floors[best] * reach if self.langs else False)
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)], near, rejected
 
 
