@@ -14,7 +14,7 @@ from veilstream.plans.model import EVENT, Settings
 from veilstream.plans.stats import BadRequest, Incomplete, Stats, is_complete, latest_window, parent_key
 from veilstream.sources.store import CellStore
 from veilstream.streaming.metrics import Metrics, consumer_lag, observed
-from veilstream.streaming.partitioned import PartitionClock, Window, partition_cells, run_available
+from veilstream.streaming.partitioned import PartitionClock, PartitionWindows, Window, partition_cells, run_available
 from veilstream.streaming.pipeline import prepared, start, stream_cells, stream_sketches
 
 LOAD = loadgen.Load(rate=50, seconds=150, users=60)
@@ -189,3 +189,79 @@ def test_metrics(spark):
     seen = Observation("o")
     spark.range(4).withColumn("error", F.when(F.col("id") == 0, "bad")).observe(seen, F.count_if(F.col("error").isNull()).alias("ok")).count()
     assert seen.get["ok"] == 3 and observed(spark.range(1).withColumn("error", F.lit(None))).count() == 1
+
+
+class FakeValue:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class FakeMap(dict):
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *a):
+        return FakeValue()
+
+    def getMapState(self, *a):
+        return FakeMap()
+
+    def listTimers(self):
+        return set(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_a_silent_partition_closes_its_windows():
+    import pandas as pd
+
+    processor, handle = PartitionWindows(), FakeHandle()
+    processor.init(handle)
+    start_at = pd.Timestamp("2026-09-23 10:00:00", tz="UTC")
+    frame = lambda *seconds: pd.DataFrame([("e%d" % s, "u", start_at + pd.Timedelta(seconds=s), "f", "w", 0) for s in seconds], columns=["event_id", "user", "ts", "family", "wiki", "namespace"])
+    now = int(start_at.timestamp() * 1000)
+    out = pd.concat(processor.handleInputRows((3,), iter([frame(5, 6, 5)]), Clock(now)))
+    assert out["window_start"].isna().all() and out["duplicates"].sum() == 1 and handle.timers == {now + 10_000}
+    out = pd.concat(processor.handleInputRows((3,), iter([frame(50)]), Clock(now + 4000)))
+    assert handle.timers == {now + 14_000} and len(processor.windows) == 1
+    out = pd.concat(processor.handleExpiredTimer((3,), Clock(now + 3_600_000), None))
+    closed = out[out["window_start"].notna()]
+    assert len(closed) == 4 and set(closed["events"]) == {3} and set(closed["users"]) == {1} and not processor.windows
+    assert out["flushed_watermark"].iloc[0] == start_at + pd.Timedelta(seconds=3570)
+    out = pd.concat(processor.handleInputRows((3,), iter([frame(7)]), Clock(now + 3_600_000)))
+    assert out["late"].sum() == 1
