@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from veilstream.session import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and order-free digest of the edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every node one edge at most, to a node that has none? Then each star is a component."""
+    heads = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    several = heads.filter("n > 1").select("u")
+    inner = heads.select(F.col("v").alias("u")).distinct().join(heads.select("u"), "u")
+    return several.unionByName(inner).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges",
     )
-    before = _state(now)
-    while before[0]:
+    while not _are_stars(now):
         # Large star: every larger neighbour of u moves to the least of u and its neighbours.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -36,10 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour of u, and u, moves to the least of them.
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = materialize(small.distinct(), "edges")
-        state = _state(after)
-        now = after
-        if state == before:
-            break
-        before = state
+        now = materialize(small.distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
