@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from veilstream.session import materialize
 
-DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS = 8192, 3, 1000, 12, 0.25, 400
+DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS, LEAST_SHARE = 8192, 3, 1000, 12, 0.25, 400, 0.15
 UNKNOWN = "und"
 SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
@@ -138,6 +138,9 @@ def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
         if np.allclose(after, centroids, atol=1e-6):
             break
         centroids = after
+    own = np.argmax(rows @ centroids.T, axis=1)
+    # A cluster of few rows stands for what they share besides the language (a notice, a list): its rows go to the others.
+    centroids = centroids[np.bincount(own, minlength=len(centroids)) >= LEAST_SHARE * len(rows)]
     return centroids, np.argmax(rows @ centroids.T, axis=1)
 
 
