@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from veilstream.llm import op2_topk, op3_secrets, op4_license, op8_language, op10_jaccard
 from veilstream.llm.components import components
+from veilstream.session import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -332,6 +333,38 @@ def test_a_chain_is_one_component(spark):
     assert got.count() == 301 and got.select("root").distinct().collect() == [(0,)]
 
 
+# Scans that Spark splits differently.
+
+
+def test_no_join_needs_the_same_splits_twice(spark, tmp_path, monkeypatch):
+    """Each scan is planned for another number of cores than the one before, as when executors come and go."""
+    texts = [t for _, t in near_rows(20, 3, 4)]
+    texts += [f"{t} token=abcdefgh{i}" for i, t in enumerate(texts[:20])] + texts[:3]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(13, "doc_id").write.parquet(f"{tmp_path}/d")
+    planned = []
+
+    def other_splits(df, name):
+        planned.append(name)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1 + 6 * (len(planned) % 3))
+        return materialize(df, name)
+
+    monkeypatch.setattr(op10_jaccard, "materialize", other_splits)
+    monkeypatch.setattr(op3_secrets, "materialize", other_splits)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/d")
+        want = jaccard_brute([r[:2] for r in rows])
+        got = op10_jaccard.near_copies(docs)
+        assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == want
+        kept = [r["doc_id"] for r in op10_jaccard.one_of_each(docs).collect()]
+        assert sorted(kept) == sorted({c for _, c, _ in want})
+        spark.conf.set("spark.sql.files.minPartitionNum", 13)
+        clean = collections.Counter((r["doc_id"], r["text"]) for r in op3_secrets.redact(docs).collect())
+        assert clean == collections.Counter((i, re.sub(r"token=\w+", op3_secrets.MARK, t) if t else t) for i, t, *_ in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # Pipeline.
 
 

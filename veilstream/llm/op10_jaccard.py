@@ -319,14 +319,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return blocked.select("path", "a", "b", "key", "signature").mapInArrow(compared, "u binary, v binary")
 
 
-def _exact(docs: DataFrame, text: str, nodes: DataFrame, near: DataFrame) -> DataFrame:
+def _exact(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
     """(u, v, links) of the candidates' components: links of u within a group, or a link u, v that spans."""
     sizes = near.groupBy("root").agg(F.count("*").alias("n"))
     members = materialize(near.join(sizes, "root").select(F.col("node").alias("key"), F.xxhash64("root").alias("part"), "n"), "near")
-    wanted = members.join(nodes.select("key", "place"), "key")
     few = members.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    texts = docs.select(F.monotonically_increasing_id().alias("place"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "place").select("part", "key", "n", "text")
+    # By the key of the text itself: a row number of this scan need not be the one of another scan.
+    texts = docs.select(_text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(members) if few else members, "key").groupBy("part", "key", "n").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,16 +356,17 @@ def _exact(docs: DataFrame, text: str, nodes: DataFrame, near: DataFrame) -> Dat
     return materialize(blocked.select("part", "a", "b", "key", "own", "shingles").mapInArrow(compared, "u binary, v binary, links long"), "links")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, doc_id, text_key, class_key, class_id, n_links) of every row; place is the row's position in ``docs``.
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
+    """(place, doc_id, text_key, class_key, class_id, n_links) of every row; place is the column of that name, or null.
 
-    ``docs`` must be a scan, or come in the same partitions whenever it is read.
+    ``docs`` is read twice, in any partitions.
     """
-    texts = docs.select(_text_key(F.col(text)).alias("key"), F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    number = F.col(place) if place else F.lit(None).cast("long")
+    texts = docs.select(_text_key(F.col(text)).alias("key"), number.alias("place"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = materialize(_sign(texts), "signed")
-    nodes = materialize(signed.filter("signature IS NOT NULL").groupBy("key").agg(F.min(F.struct("place", "signature")).alias("first")).select("key", "first.place", "first.signature"), "nodes")
+    nodes = materialize(signed.filter("signature IS NOT NULL").groupBy("key").agg(F.min("signature").alias("signature")), "nodes")
     near = components(_candidates(nodes))
-    exact = _exact(docs, text, nodes, near)
+    exact = _exact(docs, text, near)
     links = exact.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(exact.filter("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("key"), "root")
     found = materialize(links.join(roots, "key", "left"), "found")  # a plain side, so that Spark can split a text with many copies
@@ -378,11 +379,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest id, then the first."""
-    rows = near_copies(docs, doc_id, text)
+    # Numbered once and written with the numbers: another scan of ``docs`` may split and so number it differently.
+    places = materialize(docs.withColumn("__near_place", F.monotonically_increasing_id()), "places")
+    rows = near_copies(places, doc_id, text, "__near_place")
     first = materialize(rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))).alias("first")), "first")
     gone = materialize(rows.join(first, "class_key").filter(F.col("place") != F.col("first.place")).select(F.col("place").alias("__near_place")), "gone")
     few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    places = docs.withColumn("__near_place", F.monotonically_increasing_id())
     return places.join(F.broadcast(gone) if few else gone, "__near_place", "left_anti").drop("__near_place")
 
 

@@ -14,7 +14,7 @@ lengths of matches and of the gaps between them, summed up in order: the text it
 
 Defined results: a null text counts as empty; a text without spans has counts 0, an empty ``spans`` and the digest of
 the empty string. Repeated rows give repeated rows. Places are code points, ends exclusive. Rows are told apart by
-position, so ``docs`` must be a scan, or else come in the same partitions whenever it is read.
+their position in the one scan that looks for parts; ``redact`` joins the spans with the texts by a digest of the text.
 """
 
 from __future__ import annotations
@@ -94,10 +94,11 @@ def _named(spans: Column) -> Column:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; texts without spans and nulls stay as they are."""
-    spans = secret_spans(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("place").alias("__secret_place"), F.col("spans").alias("__secret_spans"))
-    spans = materialize(spans, "spans")
+    key = F.unhex(F.sha2(F.col(text).cast("binary"), 256))  # spans depend on the text alone; a second scan may number rows differently
+    spans = secret_spans(docs.select(key.alias("key"), text), "key", text).filter(F.size("spans") > 0)
+    spans = materialize(spans.groupBy(F.col("doc_id").alias("__secret_key")).agg(F.first("spans").alias("__secret_spans")), "spans")
     few = (spans.agg(F.sum(F.size("__secret_spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    rows = docs.withColumn("__secret_place", F.monotonically_increasing_id()).join(F.broadcast(spans) if few else spans, "__secret_place", "left")
+    rows = docs.withColumn("__secret_key", key).join(F.broadcast(spans) if few else spans, "__secret_key", "left")
     value = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
