@@ -35,9 +35,10 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # of AKIA[A-Z0-9]+ the matches of 20 or more: a shorter one holds no longer one
 HEX = r"[0-9a-f]{24,}"  # likewise
-IDENTIFIER = r"""(?i)(?:access_?key_?id|client_?id|user(?:name|_?id)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._+-]{3,64}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"""
-SECRET = r"""(?i:pwd|pass|passphrase|credentials?|private_?key|auth)["']?\x20{0,4}[:=]\x20{0,4}["']?[^\s"',;]{6,128}|(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,64}[0-9])(?=[a-z0-9+/]{0,64}[A-Z])(?=[A-Z0-9+/]{0,64}[a-z])[A-Za-z0-9+/]{32,128}={0,2}"""
-ENDPOINT = r"""(?i:https?|ftp|sftp|jdbc:[a-z]{1,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,512}|(?i:host(?:name)?|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,128}(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])"""
+# Values have no upper bound, so that a span covers all of one; possessive quantifiers keep the search linear.
+IDENTIFIER = r"""(?i)(?:access_?key_?id|client_?id|user(?:name|_?id)?|login|account)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._+-]{3,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"""
+SECRET = r"""(?i:pwd|pass|passphrase|credentials?|private_?key|auth)["']?\x20{0,4}[:=]\x20{0,4}["']?[^\s"',;]{6,}+|(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}"""
+ENDPOINT = r"""(?i:https?|ftp|sftp|jdbc:[a-z]{1,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,}+|(?i:host(?:name)?|endpoint|server)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9.-]{3,}+(?::[0-9]{1,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])"""
 BLANK = r"\n[\x20\t\r]{0,64}\n"
 PATTERNS = (ASSIGN, ACCESS, HEX, IDENTIFIER, SECRET, ENDPOINT)
 BREAK, NOTHING = 6, 7
