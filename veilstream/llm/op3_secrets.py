@@ -2,13 +2,14 @@ r"""Secret scans with multipart credential linking, in DataFrame operations only
 
 Base spans are what three patterns find on their own: assignments of secrets, access identifiers and long hex runs.
 The method adds weak candidates: identifiers, secrets and endpoints that mean nothing alone. They are reported only
-where complementary parts co-occur within ``REACH`` code points in one scope, that is between blank lines:
+where complementary parts co-occur in one scope, that is between blank lines, with at most ``REACH`` code points from
+the end of the one to the start of the other:
 
 * an identifier beside a secret of any kind,
 * a secret beside an identifier or an endpoint,
 * an endpoint beside both an identifier and a secret.
 
-The linking is an interval join of a text's parts with themselves; it is written as range windows over the parts'
+The linking is an interval join of a text's parts with themselves; it is written as running windows over the parts'
 places, so that no pair is formed and a text with many parts costs as much as it has parts. Places come from the
 lengths of matches and of the gaps between them, summed up in order: the text itself is never shuffled.
 
@@ -80,8 +81,16 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     )
     covered = (F.coalesce(F.col("base_before"), F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("base_after"), F.col("stop")) < F.col("stop"))
     parts = parts.withColumn("weak", (kind >= 3) & (kind < BREAK) & ~covered)
-    near = Window.partitionBy("place", "scope").orderBy("start").rangeBetween(-reach, reach)
-    beside = lambda *kinds: F.max(F.when((is_base | F.col("weak")) & kind.isin(*kinds), 1).otherwise(0)).over(near) == 1
+    earlier = Window.partitionBy("place", "scope").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("place", "scope").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def beside(*kinds: int) -> Column:
+        """Is the gap to the nearest part of these kinds, before or after, at most ``reach``? Negative gaps are overlaps."""
+        one = (is_base | F.col("weak")) & kind.isin(*kinds)
+        before = F.col("start") - F.max(F.when(one, F.col("stop"))).over(earlier) <= reach
+        after = F.min(F.when(one, F.col("start"))).over(later) - F.col("stop") <= reach
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
     parts = parts.select("*", beside(1, 3).alias("by_id"), beside(0, 2, 4).alias("by_secret"), beside(5).alias("by_endpoint"))
     linked = F.col("weak") & F.when(kind == 3, F.col("by_secret")).when(kind == 4, F.col("by_id") | F.col("by_endpoint")).otherwise(F.col("by_id") & F.col("by_secret"))
     span = F.when(is_base | linked, F.struct("start", "kind", "stop"))
