@@ -133,6 +133,20 @@ def test_parts_are_linked_by_the_gap_between_them(spark, text, want):
     test_weak_parts_need_each_other(spark, text, want)
 
 
+OVERLAPS = [
+    ("pwd: hunter22x https://db.example.com/0123456789abcdef01234567", {"secret", "hex"}, "[secret] https://db.example.com/[secret]"),
+    ("user=bob42 pwd=Zx9!0123456789abcdef01234567Qq$tail end", {"identifier", "secret", "hex"}, "[secret] [secret] end"),
+    ("user=bob42 jdbc:mysql://db.example.com/x?password=hunter2hunter end", {"identifier", "assign", "endpoint"}, "[secret] [secret] end"),
+    ("user=bob42 token=host=db.example.com", {"identifier", "assign"}, "[secret] [secret]"),
+]
+
+
+@pytest.mark.parametrize("text,want,clean", OVERLAPS)
+def test_weak_parts_that_overlap_base_spans(spark, text, want, clean):
+    test_weak_parts_need_each_other(spark, text, want)
+    assert op3_secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"] == clean
+
+
 @pytest.mark.parametrize("n", [129, 356, 513, 100_000])
 def test_spans_cover_long_values(spark, n):
     key = ("aB3+" * n)[:n]

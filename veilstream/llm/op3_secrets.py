@@ -9,6 +9,8 @@ the end of the one to the start of the other:
 * a secret beside an identifier or an endpoint,
 * an endpoint beside both an identifier and a secret.
 
+A weak candidate wholly inside a base span is part of that; one that only overlaps it counts, and is reported, by itself.
+
 The linking is an interval join of a text's parts with themselves; it is written as running windows over the parts'
 places, so that no pair is formed and a text with many parts costs as much as it has parts. Places come from the
 lengths of matches and of the gaps between them, summed up in order: the text itself is never shuffled.
@@ -73,13 +75,12 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     in_order = Window.partitionBy("place", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(in_order)).withColumn("start", F.col("stop") - F.col("size"))
     upto = Window.partitionBy("place").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("place").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     kind, is_base = F.col("kind"), (F.col("kind") < 3) & F.col("good")
     parts = parts.select(
         "*", F.sum(F.when(kind == BREAK, 1).otherwise(0)).over(upto).alias("scope"),
-        F.max(F.when(is_base, F.col("stop"))).over(upto).alias("base_before"), F.min(F.when(is_base, F.col("start"))).over(after).alias("base_after"),
+        F.max(F.when(is_base, F.col("stop"))).over(upto).alias("base_before"),
     )
-    covered = (F.coalesce(F.col("base_before"), F.lit(-1)) > F.col("start")) | (F.coalesce(F.col("base_after"), F.col("stop")) < F.col("stop"))
+    covered = F.coalesce(F.col("base_before"), F.lit(-1)) >= F.col("stop")  # wholly inside a base span; else it counts beside it
     parts = parts.withColumn("weak", (kind >= 3) & (kind < BREAK) & ~covered)
     earlier = Window.partitionBy("place", "scope").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("place", "scope").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
