@@ -240,6 +240,28 @@ def test_language(spark, tmp_path):
     assert op8_language.predict(plain, op8_language.fit(plain)).columns == [*plain.columns[:-1], "lang_pred", "score", "rejected"]
 
 
+def test_a_minority_script_keeps_its_centroid():
+    """12 % of label aa are in the script of bb; nearest centroid must still give them aa."""
+    rng = np.random.default_rng(8)
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet", "elit", "sed"], "minority": ["молоко", "хлебница", "дорога", "окошко", "ветер"], "bb": ["человек", "государство", "жизнью", "право", "общество"]}
+    some = lambda name, n: [" ".join(rng.choice(words[name], 30)) for _ in range(n)]
+    texts = {"aa": some("aa", 264) + some("minority", 36), "bb": some("bb", 300)}
+    idf = np.ones(op8_language.DIMS, np.float32)
+    rows = {lang: op8_language.vectors(t, idf)[0] for lang, t in texts.items()}
+    centroids = {lang: op8_language.k_means(r, op8_language.CENTROIDS)[0] for lang, r in rows.items()}
+    fresh = op8_language.vectors(some("minority", 50), idf)[0]
+    assert (np.max(fresh @ centroids["aa"].T, axis=1) > np.max(fresh @ centroids["bb"].T, axis=1)).all()
+
+
+def test_a_handful_of_rows_is_no_cluster_and_its_centroid_is_dealt_again():
+    rng = np.random.default_rng(8)
+    rows = np.abs(rng.normal(0, 1, (300, 40))) * np.append(np.ones(30), np.zeros(10))
+    rows[:2] = np.eye(40)[38]  # two rows apart from all others
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    centroids, own = op8_language.k_means(rows, 3)
+    assert len(centroids) == 3 and np.bincount(own).min() >= op8_language.HANDFUL
+
+
 def test_language_without_training_rows(spark, tmp_path):
     got = op8_language.op8_language(spark, write(spark, tmp_path, [(1, "lorem", None, "s", 0)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]

@@ -4,7 +4,10 @@ A text is lowered, words with digits in them (numbers, keys, digests) and runs o
 space, and all its 2- and 3-grams are hashed into
 ``DIMS`` buckets; a vector is log(1 + count) * idf, normalised. Training takes at most ``SAMPLE`` documents a label, those
 with the smallest hash of their id, so the bound is a parameter and not a prefix; whole texts count. Each label's
-vectors are split by spherical k-means into ``CENTROIDS`` clusters. Both steps of training run as one group a label on
+vectors are split by spherical k-means into ``CENTROIDS`` clusters. A cluster of fewer than ``HANDFUL`` rows (fewer still
+for a label of few rows) is dissolved and its centroid dealt again, by halving the largest cluster; one that is as small
+after ``RESEEDS`` tries is left out, and its rows go to the nearest of the others. Larger ones stay, so a script
+or register that few texts of a label are in keeps its centroid. Both steps of training run as one group a label on
 the executors; the driver gets document frequencies and centroids, whose size depends on the labels alone.
 
 A document gets the label of the nearest centroid. It is rejected if it has no letters, or if its cosine is below
@@ -31,7 +34,7 @@ from pyspark.sql.window import Window
 
 from veilstream.session import materialize
 
-DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS, LEAST_SHARE = 8192, 3, 1000, 12, 0.25, 400, 0.15
+DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS, HANDFUL, RESEEDS = 8192, 3, 1000, 12, 0.25, 400, 5, 4
 UNKNOWN = "und"
 SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
@@ -132,15 +135,30 @@ def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray,
         mid = np.argsort(near, kind="stable")[len(near) // 10]  # not the very farthest, which is an outlier
         chosen.append(rows[mid])
     centroids, own = np.stack(chosen), np.zeros(len(rows), np.int64)
-    for _ in range(rounds):
+    center = lambda members: unit(members.astype(rows.dtype) @ rows)  # noqa: E731  (no copy of the rows)
+    least = min(HANDFUL, len(rows) // (2 * k))
+    for reseeds in range(RESEEDS + 1):
+        for _ in range(rounds):
+            own = np.argmax(rows @ centroids.T, axis=1)
+            after = np.stack([center(own == c) if (own == c).any() else centroids[c] for c in range(len(centroids))])
+            if np.allclose(after, centroids, atol=1e-6):
+                break
+            centroids = after
         own = np.argmax(rows @ centroids.T, axis=1)
-        after = np.stack([unit(rows[own == c].mean(0)) if (own == c).any() else centroids[c] for c in range(len(centroids))])
-        if np.allclose(after, centroids, atol=1e-6):
+        sizes = np.bincount(own, minlength=len(centroids))
+        few = np.flatnonzero(sizes < least)
+        if not len(few) or reseeds == RESEEDS:
             break
-        centroids = after
-    own = np.argmax(rows @ centroids.T, axis=1)
-    # A cluster of few rows stands for what they share besides the language (a notice, a list): its rows go to the others.
-    centroids = centroids[np.bincount(own, minlength=len(centroids)) >= LEAST_SHARE * len(rows)]
+        # A handful of rows stands for what they share besides the language: the largest cluster is halved instead.
+        for c in few:
+            big = int(np.argmax(sizes))
+            members = np.flatnonzero(own == big)
+            far = members[np.argsort((rows @ centroids[big])[members], kind="stable")[len(members) // 10]]
+            order = members[np.argsort(-(rows @ rows[far])[members], kind="stable")]
+            own[order[: len(order) // 2]] = c
+            centroids[c], centroids[big] = center(own == c), center(own == big)
+            sizes = np.bincount(own, minlength=len(centroids))
+    centroids = centroids[sizes >= least]
     return centroids, np.argmax(rows @ centroids.T, axis=1)
 
 
@@ -204,7 +222,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         texts = sorted(part.column("text").to_pylist())  # in an order that doesn't depend on partitions
         data, reach = (np.concatenate(x) for x in zip(*(vectors(texts[i:j], idf) for i, j in _slices(texts)), strict=True))
         centroids, own = k_means(data, CENTROIDS)
-        cosine = (data * centroids[own]).sum(1) / reach
+        cosine = (data @ centroids.T)[np.arange(len(data)), own] / reach
         used = [c for c in range(len(centroids)) if (own == c).any()]
         return pa.table(
             [[part.column("lang")[0].as_py()] * len(used), used, [centroids[c].astype(np.float32).tobytes() for c in used], [float(REJECT * cosine[own == c].min()) for c in used]],
