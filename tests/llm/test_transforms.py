@@ -286,19 +286,43 @@ def places(rows, capacity):
     return len(by)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 50), min_size=1))
-def test_plan_gives_every_piece_one_slot(histogram):
-    slots, sequences = op9_packing.plan(histogram, 30)
+def best_fit(histogram, capacity):
+    """Best fit decreasing, a piece at a time: into the fullest sequence that takes it, the first of several."""
+    sequences = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            room, at = min(((capacity - sum(s), i) for i, s in enumerate(sequences) if capacity - sum(s) >= length), default=(0, None))
+            if at is None:
+                sequences.append([length])
+            else:
+                sequences[at].append(length)
+    return sequences
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 40).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(1, 9), min_size=1, max_size=9))))
+def test_plan_is_best_fit_decreasing(case):
+    capacity, histogram = case
+    slots, sequences = op9_packing.plan(histogram, capacity)
     rows = []
     for length, count in histogram.items():
         table = np.array(slots[length])
+        assert (np.diff(table[:, 0]) > 0).all()
         for rank in range(count):
             first, times, sequence, offset = table[np.searchsorted(table[:, 0], rank, "right") - 1]
             rows.append({"sequence_id": sequence + (rank - first) // times, "offset": offset + (rank - first) % times * length, "length": length})
-    assert places(rows, 30) == sequences
-    total = sum(k * v for k, v in histogram.items())
-    assert sequences <= 11 / 9 * -(-total // 30) + 6 + sum(v for k, v in histogram.items() if k > 15)
+    assert places(rows, capacity) == sequences
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["sequence_id"]].append(r["length"])
+    assert collections.Counter(tuple(sorted(s)) for s in got.values()) == collections.Counter(tuple(sorted(s)) for s in best_fit(histogram, capacity))
+
+
+def test_plan_by_hand_and_of_many():
+    slots, sequences = op9_packing.plan({1: 1, 3: 1, 8: 1, 10: 1}, 12)
+    assert sequences == 2 and slots[1][0][2] == slots[8][0][2] == slots[3][0][2] != slots[10][0][2]
+    slots, sequences = op9_packing.plan(dict.fromkeys(range(1, 2049), 10**12))
+    assert sum(map(len, slots.values())) < 20_000 and sequences * 2048 >= 10**12 * 2048 * 2049 // 2
 
 
 def test_salted_ranks(spark, monkeypatch):
@@ -318,6 +342,22 @@ def test_fast_ids_equal_the_tokenizer():
         assert encoder.ids(text).tolist() == encoder.slow.encode(text, add_special_tokens=False).ids, repr(text[:20])
 
 
+BELOW = st.characters(max_codepoint=0x24F)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(BELOW, max_size=80), st.lists(st.sampled_from(["'s", "'LL", " ", "\n", "\t ", "\x85", "\xa0", "\xad", "ñ", "ß", "12", "½", "word", "Über", "...", "<|", "_", "'"]), max_size=30).map("".join)))
+def test_fast_ids_equal_the_tokenizer_on_any_string(text):
+    encoder = op9_packing.Encoder.of(op9_packing.TOKENIZER, op9_packing.RANKS)
+    assert encoder.ids(text).tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_fast_ids_equal_the_tokenizer_on_documents(spark):
+    encoder = op9_packing.Encoder.of(op9_packing.TOKENIZER, op9_packing.RANKS)
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encoder.ids(text or "").tolist() == encoder.slow.encode(text or "", add_special_tokens=False).ids
+
+
 def test_slices_cover_all_rows():
     at = np.array([0, 5, 5, 105, 106, 107])
     assert list(slices(at, 10)) == [(0, 2), (2, 3), (3, 5)] and list(slices(np.array([0]), 10)) == []

@@ -2,18 +2,20 @@
 
 1. Documents become token ids and a closing id 0, and longer ones are cut into pieces of ``CAPACITY`` tokens of which only
    the first may be shorter. The rows of pieces (no text, no ids) are written once.
-2. The histogram of piece lengths, at most ``CAPACITY`` rows, goes to the driver. Best fit works on counts: fill one
-   sequence with the longest length left and again the longest that still fits, then repeat that pattern as often
-   as the counts allow. Every pattern uses up a length or nearly so, so the plan's size depends on ``CAPACITY`` alone.
+2. The histogram of piece lengths, at most ``CAPACITY`` rows, goes to the driver. Best fit decreasing works on counts of
+   (room left, sequences): the longest length goes to the fullest open sequences that take it, whole ranges of them at a time,
+   and to new ones where none does. A length splits few ranges, so the plan's size depends on ``CAPACITY`` alone.
 3. Each piece has a rank among the pieces of its length, and takes the slot of that rank in the plan. Ranks are
    counted in salted groups and shifted by the sums of the groups before, so that a frequent length is no hot key.
 
 Tokens are those of the given tokenizer file. Texts whose characters are all below U+0250 are encoded by a faster
-implementation of the same vocabulary, which gives the same ids there (tests compare every such character); other
-texts, and texts with special tokens, go through the tokenizer itself.
+implementation of the same vocabulary, which gives the same ids there (tests compare every such character, random strings
+of them, and whole documents); other texts, and texts with special tokens, go through the tokenizer itself. ``ranks=None``
+sends every text there.
 
 Defined results: a null or empty text is the closing id alone. Repeated rows are packed once each. An empty table
-gives no rows. Texts are encoded whole, one at a time.
+gives no rows. Texts are encoded whole, one at a time. Columns of pieces named ``sequence_id`` and ``offset`` are replaced;
+names that start with ``__pack_`` are reserved.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,34 +100,51 @@ def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
-    """Best fit over counts: for each length its slots as (first rank, pieces a sequence, first sequence, offset), and the number of sequences."""
-    left = {k: v for k, v in histogram.items() if v > 0}
-    lengths = sorted(left)
-    slots: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in lengths}
-    taken = dict.fromkeys(lengths, 0)
+    """Best fit decreasing over counts: for each length its slots as (first rank, pieces a sequence, first sequence, offset), and the number of sequences.
+
+    Open sequences are kept as ranges by the room that they have left. The longest length goes first, each time to the range
+    with the least room that takes it. A sequence that has room for several pieces of the length is then the fullest one
+    for the next of them too, so it takes them all before the next sequence of its range takes any.
+    """
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    open_: dict[int, list[tuple[int, int]]] = {}  # room to ranges of (first sequence, sequences)
+    rooms: list[int] = []  # the same rooms, sorted
     sequences = 0
-    while lengths:
-        pattern, room = [], capacity
-        use: dict[int, int] = {}
-        at = len(lengths)
-        while at and room >= lengths[0]:
-            at = min(at, bisect_right(lengths, room))
-            if not at:
-                break
-            length = lengths[at - 1]
-            times = min(room // length, left[length])
-            pattern.append((length, times, capacity - room))
-            use[length] = times
-            room -= times * length
-            at -= 1
-        repeat = min(left[k] // n for k, n in use.items())
-        for length, times, offset in pattern:
-            slots[length].append((taken[length], times, sequences, offset))
-            taken[length] += times * repeat
-            left[length] -= times * repeat
-            if not left[length]:
-                lengths.remove(length)
-        sequences += repeat
+
+    def put(room: int, first: int, n: int) -> None:
+        if n and room:
+            if room not in open_:
+                open_[room] = []
+                insort(rooms, room)
+            insort(open_[room], (first, n))  # ties go to the first sequence
+
+    for length in sorted((k for k, n in histogram.items() if n > 0), reverse=True):
+        left, mine = histogram[length], []
+
+        def fill(room: int, first: int, n: int) -> int:
+            """Fill up to ``n`` sequences from ``first`` on; how many of them are touched."""
+            nonlocal left
+            rank, times = histogram[length] - left, room // length
+            whole = min(n, left // times)
+            if whole:
+                mine.append((rank, times, first, capacity - room))
+                put(room - times * length, first, whole)
+                left -= whole * times
+            if whole == n or not left:
+                return whole
+            mine.append((histogram[length] - left, left, first + whole, capacity - room))  # the last pieces, fewer than fit
+            put(room - left * length, first + whole, 1)
+            left = 0
+            return whole + 1
+
+        while left and (at := bisect_left(rooms, length)) < len(rooms):
+            room = rooms.pop(at)
+            for first, n in open_.pop(room):
+                used = fill(room, first, n) if left else 0
+                put(room, first + used, n - used)
+        if left:
+            sequences += fill(capacity, sequences, -(-left // (capacity // length)))
+        slots[length] = mine
     return slots, sequences
 
 
