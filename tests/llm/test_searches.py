@@ -240,6 +240,79 @@ def test_language(spark, tmp_path):
     assert op8_language.predict(plain, op8_language.fit(plain)).columns == [*plain.columns[:-1], "lang_pred", "score", "rejected"]
 
 
+def grams_brute(text):
+    """Buckets of 2-grams and 3-grams of a text, in plain Python."""
+    words = [w for w in re.findall(r"[^\W_]+", "".join(c if c.isalpha() or c in "0123456789" else " " for c in text.lower())) if not re.search("[0-9]", w)]
+    points = [ord(c) for c in " " + "".join(f"{w} " for w in words)]
+    if not words:
+        points = [32]
+    out = collections.Counter()
+    for i in range(len(points) - 1):
+        two = (points[i] * 2654435761 ^ (points[i + 1] * 2246822519 + 374761393)) % 2**32
+        out[(two * 2654435769) % 2**32 >> 19] += 1
+        if i + 2 < len(points):
+            out[((two ^ (points[i + 2] * 3266489917 + 668265263)) * 2246822507) % 2**32 >> 19] += 1
+    return out
+
+
+GRAM_TEXTS = ["Straße und  Élève 12 漢 abc", "", "a", "a1 b 2c d", "...", "x\0y z", "Ωmega, ΣΑΣ ǅ", "😀 é", "lorem ipsum " * 30]
+
+
+def test_vectors_idf_and_nearest_centroid_equal_brute_force(spark):
+    import math
+    import zlib
+
+    rows = language_rows(240) + [(1000 + i, t, None, "s", 0) for i, t in enumerate(GRAM_TEXTS)]
+    for got, text in zip(op8_language.counts(GRAM_TEXTS), GRAM_TEXTS, strict=True):
+        assert {i: int(got[i]) for i in np.flatnonzero(got)} == dict(grams_brute(text)), text
+    df = spark.createDataFrame(rows, DOCS)
+    model = op8_language.fit(df)
+    train = [grams_brute(t) for i, t, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = collections.Counter(g for t in train for g in t)
+    idf = [math.log((1 + len(train)) / (1 + seen[g])) + 1 for g in range(op8_language.DIMS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    for r in op8_language.predict(df, model).collect():
+        grams = grams_brute(r["text"])
+        vector = {g: math.log1p(n) * idf[g] for g, n in grams.items()}
+        norm = math.sqrt(sum(v * v for v in vector.values())) or 1.0
+        cosines = [sum(v / norm * float(c[g]) for g, v in vector.items()) for c in model.centroids]
+        if not any(map(str.isalpha, r["text"])):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        best = max(range(len(cosines)), key=lambda c: cosines[c])
+        reach = math.sqrt(min(1, len(grams) / op8_language.FULL_GRAMS))
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - min(1, max(0, cosines[best]))) < 1e-4
+        assert r["rejected"] == (cosines[best] < model.floors[best] * reach)
+
+
+# Openings of public documents in languages that aren't learned.
+FOREIGN = [
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "xq zkw vjpq hgfd wqxz kjhg pqlm zzxc vbnq wrtp sdfg hjkl qwzx cvbn mlkp xzqw jjkq vvxz ppqr wwxy",
+]
+
+
+def test_rejection_keeps_the_learned_languages_and_no_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = spark.createDataFrame([(-1 - i, t * (1 + 3 * (i % 2))) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    model = op8_language.fit(docs)
+    got = op8_language.predict(docs.select("doc_id", "text").unionByName(foreign), model).collect()
+    assert all(r["rejected"] for r in got if r["doc_id"] < 0)
+    lettered = [r for r in got if r["doc_id"] >= 0 and any(map(str.isalpha, r["text"] or ""))]
+    assert sum(r["rejected"] for r in lettered) <= 0.002 * len(lettered)
+
+
+def test_labels_beyond_the_bound_do_not_train(spark, monkeypatch):
+    monkeypatch.setattr(op8_language, "LABELS", 2)
+    rows = [r for r in language_rows(300) if r[2] != "cc" or r[0] % 2]
+    assert set(op8_language.fit(spark.createDataFrame(rows, DOCS)).langs) == {"aa", "bb"}
+
+
 def test_a_minority_script_keeps_its_centroid():
     """12 % of label aa are in the script of bb; nearest centroid must still give them aa."""
     rng = np.random.default_rng(8)

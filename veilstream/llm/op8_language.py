@@ -3,22 +3,26 @@
 A text is lowered, words with digits in them (numbers, keys, digests) and runs of anything but letters become one
 space, and all its 2- and 3-grams are hashed into
 ``DIMS`` buckets; a vector is log(1 + count) * idf, normalised. Training takes at most ``SAMPLE`` documents a label, those
-with the smallest hash of their id, so the bound is a parameter and not a prefix; whole texts count. Each label's
+with the smallest hash of their id, and at most the ``LABELS`` most frequent labels, so the bounds are parameters and not
+prefixes; whole texts count. Each label's
 vectors are split by spherical k-means into ``CENTROIDS`` clusters. A cluster of fewer than ``HANDFUL`` rows (fewer still
 for a label of few rows) is dissolved and its centroid dealt again, by halving the largest cluster; one that is as small
 after ``RESEEDS`` tries is left out, and its rows go to the nearest of the others. Larger ones stay, so a script
-or register that few texts of a label are in keeps its centroid. Both steps of training run as one group a label on
-the executors; the driver gets document frequencies and centroids, whose size depends on the labels alone.
+or register that few texts of a label are in keeps its centroid. Texts become counts of n-grams where they are read, so the
+group of a label is bounded in bytes whatever the texts' lengths; the driver gets document frequencies and centroids,
+at most ``LABELS`` * ``CENTROIDS`` * ``DIMS`` floats, which are what is broadcast.
 
-A document gets the label of the nearest centroid. It is rejected if it has no letters, or if its cosine is below
-``REJECT`` times the smallest one that a training document of the cluster has. Both cosines are taken relative to the
-square root of the share of ``FULL_GRAMS`` distinct n-grams that the text has, since a short text in the right language
-is still far from any centroid.
+A document gets the label of the nearest centroid. It is rejected if it has no letters, or if its cosine is below the
+floor of that label: ``MARGIN`` times the ``QUANTILE`` of the cosines that held-out rows of the sample (every
+``CALIBRATE``-th) have with the nearest centroid of their label when k-means runs without them. All cosines are taken
+relative to the square root of the share of ``FULL_GRAMS`` distinct n-grams that the text has, since a short text in
+the right language is still far from any centroid; what is closer than that counts as 1 for the floor. A label of under ``CALIBRATE`` rows takes the least floor of the others,
+or rejects nothing by distance.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected. Rows without label or id
 don't train. Ties go to the first label in code point order. Without training rows every text is ``und`` with score 0, and only
 those without letters are rejected. Very
-long texts are read whole, a few MB at a time.
+long texts are read whole, a piece at a time.
 """
 
 from __future__ import annotations
@@ -34,9 +38,10 @@ from pyspark.sql.window import Window
 
 from veilstream.session import materialize
 
-DIMS, CENTROIDS, SAMPLE, ROUNDS, REJECT, FULL_GRAMS, HANDFUL, RESEEDS = 8192, 3, 1000, 12, 0.25, 400, 5, 4
+DIMS, CENTROIDS, SAMPLE, LABELS, ROUNDS, FULL_GRAMS, HANDFUL, RESEEDS = 8192, 3, 1000, 500, 12, 400, 5, 4
+CALIBRATE, QUANTILE, MARGIN = 4, 0.01, 0.4
 UNKNOWN = "und"
-SLICE_CHARS, SLICE_ROWS = 2 << 20, 512
+SLICE_CHARS, SLICE_ROWS = 1 << 19, 128
 #: Samples of up to this many rows are broadcast as ids (about 50 bytes each).
 BROADCAST_SAMPLE = 50_000
 
@@ -90,14 +95,14 @@ def counts(texts: list[str]) -> np.ndarray:
                     out[row * DIMS : (row + 1) * DIMS] += np.bincount(grams[max(0, len(carry) - lag) :], minlength=DIMS)
                 carry = points[-2:]
     short = [t.lower() if len(t) <= SLICE_CHARS else "" for t in texts]
-    whole = np.frombuffer((" " + "\0".join(short) + " ").encode("utf-32-le", "replace"), np.uint32)
+    whole = np.frombuffer((" " + " \0".join(short) + " ").encode("utf-32-le", "replace"), np.uint32)
     if len(whole) > 2:
         cut = whole == 0
         if int(cut.sum()) != len(texts) - 1:  # texts with zero characters of their own
-            whole = np.frombuffer((" " + "\0".join(t.replace("\0", " ") for t in short) + " ").encode("utf-32-le", "replace"), np.uint32)
+            whole = np.frombuffer((" " + " \0".join(t.replace("\0", " ") for t in short) + " ").encode("utf-32-le", "replace"), np.uint32)
             cut = whole == 0
         plain = _plain(whole)
-        keep = (plain != 32) | np.append(True, (plain[:-1] != 32) | cut[:-1]) | cut
+        keep = (plain != 32) | np.append(True, plain[:-1] != 32) | cut  # a zero is the space that its text begins with
         doc = np.cumsum(cut)[keep] * DIMS
         plain = plain[keep]
         two, three = _bucket(plain)
@@ -110,7 +115,12 @@ def counts(texts: list[str]) -> np.ndarray:
 
 def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised TF-IDF rows, and how close a text with so few n-grams can come to a centroid (1 for longer ones)."""
-    out = np.log1p(counts(texts).astype(np.float32)) * idf
+    return weighed(counts(texts), idf)
+
+
+def weighed(grams: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``vectors`` of counted n-grams."""
+    out = np.log1p(grams.astype(np.float32)) * idf
     reach = np.sqrt(np.minimum(1, np.maximum(1, (out > 0).sum(1)) / FULL_GRAMS))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), reach
 
@@ -167,7 +177,7 @@ class LanguageModel:
     idf: np.ndarray
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # smallest cosine relative to reach of each cluster in training, times REJECT
+    floors: np.ndarray  # of each centroid: the least cosine relative to reach that isn't rejected
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(label, cosine, rejected) of each text."""
@@ -191,48 +201,90 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Learn from labelled rows that aren't held out, at most ``sample`` a label."""
+    """Learn from labelled rows that aren't held out, at most ``sample`` a label and ``LABELS`` labels."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     pairs = rows.select("id", "lang").distinct()
     # Of a frequent label only the ids with a small hash can be among the first: four times as many as are needed.
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count("*"))
-    shares = materialize(pairs.groupBy("lang").agg(share.alias("share")), "language-shares")
+    shares = pairs.groupBy("lang").agg(share.alias("share"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).drop("n")
+    shares = materialize(shares, "language-shares")
     small = (F.shiftrightunsigned(F.xxhash64("id"), 11) / float(2**53)) < F.col("share")
     order = F.shiftrightunsigned(F.xxhash64("id"), 11)
     first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
-    ids = materialize(pairs.join(shares, "lang").filter(small).drop("share").withColumn("n", first).filter(F.col("n") <= sample).drop("n"), "language-ids")
+    ids = materialize(pairs.join(F.broadcast(shares), "lang").filter(small).drop("share").withColumn("n", first).filter(F.col("n") <= sample).drop("n"), "language-ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_SAMPLE else ids
     again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))  # ids may repeat
     picked = rows.join(chosen, ["id", "lang"]).filter(F.col("text").rlike(r"\p{L}")).withColumn("n", again).filter(F.col("n") <= sample)
-    table = materialize(picked.select("lang", "text").repartition("lang"), "language-sample")
+    table = materialize(_counted(picked.select("lang", "text")).repartition("lang"), "language-sample")
 
     def frequencies(part: pa.Table) -> pa.Table:
-        texts = part.column("text").to_pylist()
-        df = sum(((counts(texts[i:j]) > 0).sum(0) for i, j in _slices(texts)), np.zeros(DIMS, np.int64))
-        return pa.table({"n": [len(texts)], "df": [df.astype(np.int64).tobytes()]}, schema=pa.schema([("n", pa.int64()), ("df", pa.binary())]))
+        df = np.zeros(DIMS, np.int64)
+        for grams in part.column("grams").to_pylist():
+            df[np.frombuffer(grams, _ENTRY)["bucket"]] += 1
+        return pa.table({"n": [part.num_rows], "df": [df.astype(np.int32).tobytes()]}, schema=pa.schema([("n", pa.int64()), ("df", pa.binary())]))
 
-    got = table.groupBy("lang").applyInArrow(frequencies, "n long, df binary").collect()
+    got = table.groupBy("lang").applyInArrow(frequencies, "n long, df binary").collect()  # one row a label
     n = sum(r["n"] for r in got)
-    df = sum((np.frombuffer(bytes(r["df"]), np.int64) for r in got), np.zeros(DIMS, np.int64))
+    df = sum((np.frombuffer(bytes(r["df"]), np.int32).astype(np.int64) for r in got), np.zeros(DIMS, np.int64))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def clusters(part: pa.Table) -> pa.Table:
-        texts = sorted(part.column("text").to_pylist())  # in an order that doesn't depend on partitions
-        data, reach = (np.concatenate(x) for x in zip(*(vectors(texts[i:j], idf) for i, j in _slices(texts)), strict=True))
+        grams = sorted(part.column("grams").to_pylist())  # in an order that doesn't depend on partitions
+        data, reach = np.zeros((len(grams), DIMS), np.float32), np.zeros(len(grams))
+        for i in range(0, len(grams), SLICE_ROWS):
+            data[i : i + SLICE_ROWS], reach[i : i + SLICE_ROWS] = weighed(_dense(grams[i : i + SLICE_ROWS]), idf)
         centroids, own = k_means(data, CENTROIDS)
-        cosine = (data @ centroids.T)[np.arange(len(data)), own] / reach
-        used = [c for c in range(len(centroids)) if (own == c).any()]
+        used = np.unique(own).tolist()
+        floor = floor_of(data, reach)
         return pa.table(
-            [[part.column("lang")[0].as_py()] * len(used), used, [centroids[c].astype(np.float32).tobytes() for c in used], [float(REJECT * cosine[own == c].min()) for c in used]],
-            schema=pa.schema([("lang", pa.string()), ("cluster", pa.int32()), ("centroid", pa.binary()), ("least", pa.float64())]),
+            [[part.column("lang")[0].as_py()] * len(used), used, [centroids[c].astype(np.float32).tobytes() for c in used], [floor] * len(used)],
+            schema=pa.schema([("lang", pa.string()), ("cluster", pa.int32()), ("centroid", pa.binary()), ("floor", pa.float64())]),
         )
 
-    found = sorted(table.groupBy("lang").applyInArrow(clusters, "lang string, cluster int, centroid binary, least double").collect(), key=lambda r: (r["lang"], r["cluster"]))
+    found = sorted(table.groupBy("lang").applyInArrow(clusters, "lang string, cluster int, centroid binary, floor double").collect(), key=lambda r: (r["lang"], r["cluster"]))
     centroids = np.stack([np.frombuffer(bytes(r["centroid"]), np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
-    return LanguageModel(idf, [r["lang"] for r in found], centroids, np.array([r["least"] for r in found]))
+    known = [r["floor"] for r in found if r["floor"] is not None]
+    return LanguageModel(idf, [r["lang"] for r in found], centroids, np.array([min(known, default=0.0) if r["floor"] is None else r["floor"] for r in found]))
+
+
+def floor_of(rows: np.ndarray, reach: np.ndarray) -> float | None:
+    """The floor of a label from held-out rows of its sample; None if there are too few."""
+    held = np.arange(len(rows)) % CALIBRATE == 0
+    if len(rows) < CALIBRATE:
+        return None
+    centroids, _ = k_means(rows[~held], CENTROIDS)
+    return float(MARGIN * np.quantile(np.minimum(1, (rows[held] @ centroids.T).max(1) / reach[held]), QUANTILE))
+
 
+_ENTRY = np.dtype([("bucket", "<u2"), ("count", "<u4")])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, text) to (lang, grams): the n-grams that the text has, by bucket, at most ``DIMS`` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, j in _slices(texts):
+                out = []
+                for row in counts(texts[i:j]):
+                    some = np.flatnonzero(row)
+                    entries = np.empty(len(some), _ENTRY)
+                    entries["bucket"], entries["count"] = some, np.minimum(row[some], 2**32 - 1)
+                    out.append(entries.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, pa.binary())], names=["lang", "grams"])
+
+    return rows.mapInArrow(run, "lang string, grams binary")
+
+
+def _dense(grams: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(grams), DIMS), np.int64)
+    for row, one in zip(out, grams, strict=True):
+        entries = np.frombuffer(one, _ENTRY)
+        row[entries["bucket"]] = entries["count"]
+    return out
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
