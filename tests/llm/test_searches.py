@@ -115,6 +115,59 @@ def test_weak_parts_need_each_other(spark, text, want):
     assert {op3_secrets.KINDS[s["kind"]] for s in spans} == want
 
 
+WEAK = {3: re.compile(op3_secrets.IDENTIFIER, re.A), 4: re.compile(op3_secrets.SECRET, re.A), 5: re.compile(op3_secrets.ENDPOINT, re.A)}
+NEEDS = {3: [{0, 2, 4}], 4: [{1, 3, 5}], 5: [{1, 3}, {0, 2, 4}]}
+
+
+def all_spans(text, reach):
+    """Base spans and weak ones that a part of each kind they need is near, pair by pair."""
+    parts = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    parts += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    parts += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base = list(parts)
+    weak = [(m.start(), k, m.end()) for k, p in WEAK.items() for m in p.finditer(text)]
+    weak = [w for w in weak if not any(a <= w[0] and b >= w[2] for a, _, b in base)]
+    breaks = [m.start() for m in re.finditer(op3_secrets.BLANK, text)]
+    scope = lambda part: sum(b <= part[0] for b in breaks)
+    near = lambda x, y: scope(x) == scope(y) and max(x[0], y[0]) - (x[2] if x[0] < y[0] else y[2]) <= reach
+    linked = [w for w in weak if all(any(p[1] in kinds and near(w, p) for p in base + weak) for kinds in NEEDS[w[1]])]
+    return sorted(base + linked)
+
+
+def test_linked_spans_equal_a_brute_force_interval_join(spark):
+    rng = np.random.default_rng(12)
+    pieces = PIECES + ["login: al", "account=anna", "joe@mail.example.com", "10.0.0.7:22", "host=db.example.com", "auth=Zx9!kk7777", "aB3" * 12, "\n \t\n", ", ", " ", "\n", "filler words here ", "s3://bucket/key", "pwd=https://x.example.com/a", "é" * 9]
+    texts = [" ".join(rng.choice(pieces, rng.integers(2, 30))) if i % 2 else "".join(rng.choice(pieces, rng.integers(2, 30))) for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for reach in (12, 300):
+        for r in op3_secrets.secret_spans(df, reach=reach).collect():
+            want = all_spans(texts[r["doc_id"]], reach)
+            assert [tuple(s) for s in r["spans"]] == want, texts[r["doc_id"]]
+            some += sum(k >= 3 for _, k, _ in want)
+    assert some > 500
+    for r in op3_secrets.redact(df).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        joined = []
+        for a, _, b in all_spans(text, op3_secrets.REACH):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        for a, b in joined:
+            out, at = out + text[at:a] + op3_secrets.MARK, b
+        assert r["text"] == out + text[at:]
+
+
+def test_a_text_with_very_many_spans(spark):
+    import time
+
+    text = "é token=abcdefgh12 " * 40_000  # 800,000 characters
+    began = time.perf_counter()
+    got = op3_secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got == "é [secret] " * 40_000 and time.perf_counter() - began < 60
+
+
 LONG = "aB3.-_" * 70
 FAR = [
     (f"token={LONG} user=bob42", {"assign", "identifier"}),
