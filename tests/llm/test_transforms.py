@@ -173,6 +173,34 @@ def test_taken_is_near_the_target(spark):
     assert better.filter("__mix_taken > 0").count() > 0
 
 
+@pytest.mark.parametrize("per_group", [20_000, 7])
+def test_repeated_rows_at_a_threshold(spark, tmp_path, monkeypatch, per_group):
+    import duckdb
+
+    monkeypatch.setattr(op6_mixing, "TIED_ROWS", per_group)
+    rows = [(7, "four words in all", "b")] * 100 + [(8, "x " * 30, "a")] * 5 + [(100 + i, "some words " * (i % 9 + 1), "c") for i in range(60)] + [(9, "twice", None)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_mixing.op6_mixing(spark, str(tmp_path)).collect()
+    taken = collections.Counter((r["doc_id"], r["taken"]) for r in got)
+    for source in {r["target"]: r for r in got}.values():
+        ids = {i for i, t, s in rows if s == next(s for i, _, s in rows if i == source["doc_id"])}
+        assert abs(sum(r["taken"] for r in got if r["doc_id"] in ids) - source["target"]) <= 30
+    assert len({n for i, n in taken if i == 7}) == 2  # some of the equal rows are taken once more than others
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(op6_mixing.ORACLE).fetchall()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    extra = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.monotonically_increasing_id())
+    assert op6_mixing.mix(extra).count() == len(rows) and op6_mixing.mix(extra).columns[:4] == extra.columns
+
+
+def test_given_qualities(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("ten words of text that are the same for all").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.when(F.col("id") % 10 < 4, 20.0).when(F.col("id") % 10 == 9, float("nan")).otherwise(0.05).alias("q"))
+    mixed = op6_mixing.mix(rows, weights=(8, 1), quality=F.col("q")).filter("source = 's1'")  # a share of a third of its size
+    got = {r["q"]: r["t"] for r in mixed.groupBy("q").agg(F.avg((F.col("__mix_taken") > 0).cast("int")).alias("t")).collect()}
+    assert got[20.0] > 0.5 > 5 * got[0.05]
+
+
 # Media.
 
 
