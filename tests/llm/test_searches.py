@@ -228,15 +228,24 @@ def test_redaction(spark, monkeypatch):
 LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def license_words(text):
+    return LICENSE_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def stands_in(phrase, words):
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
 def license_brute(text):
-    words = LICENSE_WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    words = license_words(text)
     base = [(i, label) for phrase, label in op4_license.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, score = {label for _, label in base}, 1.0 if base else 0.0
-    for label, template in op4_license.TEMPLATES.items():
-        want, n = set(template.split()), len(template.split())
+    for label, phrase, template in op4_license.TEMPLATES:
+        want, n, must = set(license_words(template)), len(license_words(template)), license_words(phrase)
         for a in range(0, len(words), n):
-            share = len(want & set(words[a : a + 2 * n])) / len(want)
-            if share >= op4_license.CONTAINMENT - 1e-9:
+            block = words[a : a + 2 * n]
+            share = len(want & set(block)) / len(want)
+            if share >= op4_license.CONTAINMENT - 1e-9 and (not must or stands_in(must, block)):
                 labels.add(label)
                 score = max(score, share)
     starts = [i for i, _ in base]
@@ -245,19 +254,67 @@ def license_brute(text):
 
 def test_licenses_equal_brute_force(spark, tmp_path):
     rng = np.random.default_rng(2)
-    words = sorted({w for t in op4_license.TEMPLATES.values() for w in t.split()}) + ["MIT", "License", "Apache", "naïve", "x", "General", "PUBLIC"]
-    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(200)]
-    for template in op4_license.TEMPLATES.values():
+    words = sorted({w for _, _, t in op4_license.TEMPLATES for w in license_words(t)})[::5] + ["MIT", "License", "Apache", "naïve", "x", "General", "PUBLIC"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(100)]
+    for _, phrase, template in op4_license.TEMPLATES:
         parts = template.split()
         for drop in (0, 1, 2):
-            some = list(rng.permutation(parts)) if drop else parts
-            texts.append("noise " * int(rng.integers(0, 40)) + "; ".join(some[drop:]).upper() + " tail" * int(rng.integers(0, 9)))
-    texts += [None, "", "mit-license mit license MIT LICENSE", "general public license", "É" * 100_000, "mit", "license", "Mit\nLicense."]
+            some = list(rng.permutation(parts)) if drop == 1 else parts
+            texts.append("noise " * int(rng.integers(0, 90)) + "; ".join(some[drop:]).upper() + " tail" * int(rng.integers(0, 90)) + (" " + phrase if drop == 1 else ""))
+    texts += [None, "", "mit-license mit license MIT LICENSE", "general public license", "É" * 100_000, "mit", "license", "Mit\nLicense.", "version 2 " * 20]
+    texts += ["\n".join(t for _, _, t in op4_license.TEMPLATES)] * 2
     got = op4_license.op4_license(spark, write(spark, tmp_path, docs_of(texts))).collect()
     assert len(got) == len(texts)
     for r in got:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9)) == license_brute(texts[r["doc_id"]]), texts[r["doc_id"]]
     assert op4_license.op4_license(spark, write(spark, tmp_path, [])).count() == 0
+    clash = spark.createDataFrame([(1, "MIT license", 5, "x")], "doc_id long, text string, n_words int, matches string")
+    assert op4_license.license_matches(clash).columns == ["doc_id", "n_words", "matches"]
+
+
+SAID = [
+    ("Licensed under CC BY 4.0", "cc-by-4.0-notice"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0-notice"),
+    ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0-notice"),
+    ("Licensed under CC BY-SA 3.0", "cc-by-sa-3.0-notice"),
+    ("Licensed under CC BY-NC 3.0", ""),
+    ("released under the apache license", "apache"),
+    ("released under the terms of the BSD license", "bsd-notice"),
+    ("released under the terms of the MIT license", "mit,mit-notice"),
+    ("Lesser General Public License version 2", "gpl,lgpl-notice"),
+    ("licensed under the GNU General Public License, version 2", "gpl,gpl-2.0-notice"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0-notice"),
+    ("This work is licensed under the GNU General Public License, version 1.", "gpl"),
+    ("This library is licensed under the GNU Lesser General Public License, version 3.", "gpl,lgpl-notice"),
+    ("Apache License, Version 1.0", "apache"),
+    ("Licensed under the Apache License, Version 1.1", "apache"),
+    ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0-notice"),
+    ("The mention of licenses under which work is released", ""),
+]
+
+
+def test_near_misses_are_told_apart(spark):
+    got = op4_license.license_matches(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SAID)], "doc_id long, text string")).collect()
+    for r in got:
+        assert ",".join(sorted({m["label"] for m in r["matches"]})) == SAID[r["doc_id"]][1], SAID[r["doc_id"]]
+
+
+BODIES = {
+    "mit-text": "and to permit persons to whom the Software is furnished to do so. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-disclaimer": "// the software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose, title and noninfringement",
+    "bsd-text": "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "apache-2.0-text": "3. Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work",
+}
+
+
+def test_bodies_of_licenses(spark):
+    df = spark.createDataFrame([(i, "some prose before it " * 30 + t + " and after it" * 40) for i, t in enumerate(BODIES.values())], "doc_id long, text string")
+    for r, want in zip(sorted(op4_license.license_matches(df).collect(), key=lambda r: r["doc_id"]), BODIES, strict=True):
+        assert want in {m["label"] for m in r["matches"]}, want
+        versions = {m["label"] for m in r["matches"]} & {"gpl-2.0-notice", "gpl-3.0-notice", "lgpl-3.0-notice", "lgpl-2.1-notice", "agpl-notice"}
+        assert versions <= {want}
 
 
 # Language.

@@ -11,14 +11,20 @@ a template when it holds at least ``CONTAINMENT`` of the template's distinct wor
 * positional filter: if a block's rarest match is the p-th word of that order, at most ``len - p`` words can match;
 * the distinct words of the remaining candidates are counted, in numpy, without forming pairs of blocks.
 
+Sets of words can't tell a version or a clause apart, so a template may have a phrase that must stand in the block that
+meets it. The templates are parts of public license texts and notices (``license_texts``); others can be given.
+
 Besides, phrases are found wherever their words stand in a row ("base" labels).
 
-Defined results: a null or empty text has no words, no matches and score 0. Repeated rows give repeated rows. Texts are
+Defined results: a null or empty text has no words, no matches and score 0. Repeated rows give repeated rows. A block
+may meet several templates, and a template several blocks: each is a match, in the order of first word, label and kind.
+The result has the columns doc_id, n_words and matches whatever other columns ``docs`` has. Texts are
 read whole; a slice of a few MB is worked on at once, a longer text alone, in memory proportional to its length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,22 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.llm.columns import flat, slices, within
+from veilstream.llm.license_texts import TEMPLATES
 
 CONTAINMENT = 0.8
 
-# Phrases, and the opening or notice of public license texts.
+# Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "bsd-3-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc-4.0-notice": "licensed under cc by nc 4 0",
-    "gpl-3.0-notice": "this work is licensed under the gnu general public license version 3",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit-notice": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense-text": "this is free and unencumbered software released into the public domain",
-}
+_WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template or phrase."""
+    return _WORD.findall("".join(c.lower() if c.isascii() else c for c in text))
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,6 +120,7 @@ class Template:
     size: int
     order: list[int]  # distinct words' numbers, rare to frequent
     need: int
+    phrase: list[int]  # of words that must stand in a row; empty if none must
 
     @property
     def prefix(self) -> list[int]:
@@ -139,15 +143,25 @@ def word_counts(texts: DataFrame, vocabulary: Vocabulary) -> dict[int, int]:
     return {r["word"]: r["n"] for r in rows}
 
 
-def templates_by_rarity(templates: dict[str, str], vocabulary: Vocabulary, counts: dict[int, int], threshold: float) -> list[Template]:
+def templates_by_rarity(templates: list[tuple[str, str, str]], vocabulary: Vocabulary, counts: dict[int, int], threshold: float) -> list[Template]:
     out = []
-    for label, text in sorted(templates.items()):
-        words = text.split()
+    for label, phrase, text in sorted(templates):
+        words = words_of(text)
         order = sorted({vocabulary.id[w] for w in words}, key=lambda i: (counts.get(i, 0), vocabulary.words[i]))
-        out.append(Template(label, len(words), order, int(np.ceil(threshold * len(order) - 1e-9))))
+        out.append(Template(label, len(words), order, int(np.ceil(threshold * len(order) - 1e-9)), [vocabulary.id[w] for w in words_of(phrase)]))
     return out
 
 
+def in_a_row(ids: list[int], numbers: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Indices of the vocabulary words where a phrase begins. numbers, at, doc: words in order, by place in the slice and text."""
+    good = numbers == ids[0]
+    for k, word in enumerate(ids[1:], 1):
+        good[len(good) - k :] = False
+        ahead = slice(k, None)
+        good[: len(good) - k] &= (numbers[ahead] == word) & (at[ahead] == at[: len(at) - k] + k) & (doc[ahead] == doc[: len(doc) - k])
+    return np.flatnonzero(good)
+
+
 def blocks_of(template: Template, numbers: np.ndarray, place: np.ndarray, doc: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, block, distinct words) of the blocks that meet the threshold. numbers, place, doc: vocabulary words by text and place."""
     none = (np.zeros(0, np.int64),) * 3
@@ -177,13 +191,14 @@ def blocks_of(template: Template, numbers: np.ndarray, place: np.ndarray, doc: n
 MATCH = "array<struct<label:string,kind:string,first_word:long,end_word:long,start_byte:long,end_byte:long,containment:double>>"
 
 
-def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = CONTAINMENT, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = CONTAINMENT, templates: list[tuple[str, str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, n_words, matches): every phrase and every block that meets a template's threshold, as spans of words and bytes."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
-    vocabulary = Vocabulary([*{w for x in [*templates.values(), *phrases] for w in x.split()}])
+    templates = [x for x in templates if words_of(x[2])]
+    vocabulary = Vocabulary([*{w for x in [*(t for _, *both in templates for t in both), *phrases] for w in words_of(x)}])
     texts = docs.select(F.col(text).cast("string").alias("text"))
     ordered = templates_by_rarity(templates, vocabulary, word_counts(texts, vocabulary), threshold)
-    runs = [(label, [vocabulary.id[w] for w in phrase.split()]) for phrase, label in sorted(phrases.items())]
+    runs = [(label, [vocabulary.id[w] for w in words_of(phrase)]) for phrase, label in sorted(phrases.items())]
     seeds = Vocabulary([vocabulary.words[i] for i in {*(i for t in ordered for i in t.prefix), *(ids[0] for _, ids in runs)}])
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -207,17 +222,22 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         offsets_now = part.offsets
         for label, ids in runs:
-            good = numbers == ids[0]
-            for k, word in enumerate(ids[1:], 1):
-                good[len(good) - k :] = False
-                ahead = slice(k, None)
-                good[: len(good) - k] &= (numbers[ahead] == word) & (at[ahead] == at[: len(at) - k] + k) & (doc[ahead] == doc[: len(doc) - k])
-            for i in np.flatnonzero(good).tolist():
+            for i in in_a_row(ids, numbers, at, doc).tolist():
                 add(int(doc[i]), label, "phrase", int(place[i]), int(place[i]) + len(ids), 1.0)
         for template in ordered:
-            for d, block, distinct in zip(*(x.tolist() for x in blocks_of(template, numbers, place, doc, n_words)), strict=True):
-                a = block * template.size
-                add(d, template.label, "template", a, min(a + 2 * template.size, int(n_words[d])), distinct / len(template.order))
+            met = blocks_of(template, numbers, place, doc, n_words)
+            if not len(met[0]):
+                continue
+            first = met[1] * template.size
+            last = np.minimum(first + 2 * template.size, n_words[met[0]])
+            fine = np.ones(len(first), bool)
+            if template.phrase:  # the first place of the phrase at or after the block's start has to leave room for it
+                begins = at[in_a_row(template.phrase, numbers, at, doc)]
+                lead = part.first[met[0]]
+                near = np.append(begins, np.iinfo(np.int64).max - len(template.phrase))[np.searchsorted(begins, lead + first)]
+                fine = near + len(template.phrase) <= lead + last
+            for d, a, b, distinct in zip(*(x[fine].tolist() for x in (met[0], first, last, met[2])), strict=True):
+                add(d, template.label, "template", a, b, distinct / len(template.order))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
