@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -284,6 +285,134 @@ def test_cut_images_do_not_crash(cut):
     op7_jpeg.decode_luma(broken, np.array([0, len(broken)]))
 
 
+def slow_decode(raw):
+    """DC-only luminance of one baseline image, a bit at a time; (width, height, rows of samples)."""
+    at, tables, quant, restart = 2, {}, {}, 0
+    while True:
+        marker, n = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+        body, at = raw[at + 4 : at + 2 + n], at + 2 + n
+        if marker == 0xDB:
+            quant[body[0] & 15] = body[1]
+        elif marker == 0xC4:
+            code, k, codes = 0, 17, {}
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[format(code, f"0{length}b")] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            tables[body[0]] = codes
+        elif marker == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif marker == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, len(body), 3)]
+        elif marker == 0xDA:
+            chosen = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
+            break
+    end = raw.index(b"\xff\xd9", at)
+    lanes = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", raw[at:end])]
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    cols, rows = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    samples = {}
+    for lane, data in enumerate(lanes):
+        bits, i, pred = "".join(f"{b:08b}" for b in data), 0, dict.fromkeys(chosen, 0)
+
+        def symbol(codes):
+            nonlocal i
+            j = i + 1
+            while bits[i:j] not in codes:
+                j += 1
+            out, i = codes[bits[i:j]], j
+            return out
+
+        for m in range(lane * restart, min((lane + 1) * restart, rows * cols) if restart else rows * cols):
+            for cid, h, v, q in parts:
+                for b in range(h * v):
+                    size = symbol(tables[chosen[cid] >> 4])
+                    value = int(bits[i : i + size], 2) if size else 0
+                    pred[cid] += value if not size or bits[i] == "1" else value - (1 << size) + 1
+                    i += size
+                    k = 1
+                    while k < 64:
+                        s = symbol(tables[0x10 | chosen[cid] & 15])
+                        i += s & 15
+                        k = 64 if s == 0 else k + (s >> 4) + 1
+                    if cid == parts[0][0]:
+                        samples[m // cols * v + b // h, m % cols * h + b % h] = min(255, max(0, round(pred[cid] * quant[q] / 8 + 128)))
+    high, wide = -(--(-height * parts[0][2] // most_v) // 8), -(--(-width * parts[0][1] // most_h) // 8)
+    return width, height, [[samples[y, x] for x in range(wide)] for y in range(high)]
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_a_slow_decoder_reads_the_same(restart):
+    rng = np.random.default_rng(restart + 9)
+    colour = build_colour(rng.integers(-60, 60, 60).tolist(), rng.integers(-60, 60, 30).tolist(), 2, restart, 70, 40)
+    own, _ = op7_jpeg.encode(rng.integers(0, 256, 1000).astype(np.uint8), np.array([0, 1000]))
+    for raw in (colour, own.tobytes()):
+        width, height, rows = slow_decode(raw)
+        ((image, thumb),) = op7_jpeg.decode_luma(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert (image.width, image.height) == (width, height) and thumb.tolist() == rows
+
+
+def test_headers_that_lie(spark):
+    import time
+
+    raw = bytearray(op7_jpeg.encode(np.arange(200, dtype=np.uint8), np.array([0, 200]))[0].tobytes())
+    at = raw.index(b"\xff\xc0")
+    cases = [bytes(raw)]
+    for place, value in ((at + 11, 0x00), (at + 11, 0x10), (at + 11, 0x01), (at + 11, 0xFF), (at + 9, 0), (at + 9, 3), (at + 12, 3), (at + 3, 1), (at + 4, 12)):
+        case = bytearray(raw)
+        case[place] = value
+        cases.append(bytes(case))
+    for side in (4096, 65535):  # more than the scan holds, without restart intervals
+        case = bytearray(raw).replace(b"\xff\xdd\x00\x04\x00\x40", b"\xff\xdd\x00\x04\x00\x00")
+        case[at + 5 : at + 9] = side.to_bytes(2, "big") * 2
+        cases.append(bytes(case))
+    taller = bytearray(raw)
+    taller[at + 5 : at + 7] = (8 * 5).to_bytes(2, "big")  # a row more than there is
+    cases.append(bytes(taller))
+    table = raw.index(b"\xff\xc4")
+    over = bytearray(raw)
+    over[table + 5] = 200
+    cases.append(bytes(over))
+    began = time.perf_counter()
+    got = op7_jpeg.decode_luma(np.frombuffer(b"".join(cases), np.uint8), np.cumsum([0, *map(len, cases)]))
+    assert got[0] is not None and got[1:] == [None] * (len(cases) - 1) and time.perf_counter() - began < 5
+
+
+SEEDS = [op7_jpeg.encode(np.arange(150, dtype=np.uint8), np.array([0, 150]))[0].tobytes(), build_colour([5, -9] * 30, [3, 4] * 15, 2, 3, 70, 40)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(SEEDS), st.lists(st.tuples(st.integers(0, 700), st.integers(0, 255)), min_size=1, max_size=6), st.integers(0, 700))
+def test_damaged_images_do_not_crash(raw, changes, cut):
+    data = bytearray(raw)
+    for place, value in changes:
+        data[place % len(data)] = value
+    data = bytes(data[: len(data) - cut % 20])
+    both = np.frombuffer(data + SEEDS[0], np.uint8)
+    first, second = op7_jpeg.decode_luma(both, np.array([0, len(data), len(both)]))
+    assert second is not None and second[0][1].tobytes()[:150] == bytes(range(150))
+    if first is not None:
+        assert all(t.size <= 4 * len(data) for _, t in first)
+
+
+def hash_brute(rows):
+    high, wide = len(rows), len(rows[0])
+    cut = lambda n: [(k * n // 8, max(k * n // 8 + 1, (k + 1) * n // 8)) for k in range(8)]
+    cells = [sum(rows[y][x] for y in range(*ys) for x in range(*xs)) / ((ys[1] - ys[0]) * (xs[1] - xs[0])) for ys in cut(high) for xs in cut(wide)]
+    mean = np.mean(np.array(cells).reshape(8, 8))
+    return f"{int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
+def test_features_equal_brute_force(spark, sf):
+    for r in op7_jpeg.op7_jpeg(spark, sf).collect():
+        raw = next((t or "") for i, t, *_ in ROWS if i == r["doc_id"]).encode()
+        if len(raw) <= 64 * op7_jpeg.MAX_ROWS:
+            padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+            assert r["feature"] == f"512x{len(padded) // 8}:{hash_brute([padded[i : i + 64] for i in range(0, len(padded), 64)])}"
+
+
 # Packing.
 
 

@@ -11,7 +11,9 @@ Huffman-decodes the luminance scan; all restart intervals of all images of a bat
 at a time, as numpy vectors. It reconstructs the DC-only thumbnail (an eighth of the size) and skips AC.
 
 Defined results: a null or empty text is one row of zeros. Equal texts have equal media. What isn't baseline JPEG
-decodes to None and has null features. A batch is cut into slices of a few MB; a longer text is handled alone.
+decodes to None and has null features; so do headers that contradict themselves, images that declare more blocks than their
+scan has bits for, and scans that end or break off before their blocks do. A block takes two bits at least, so work and
+memory are bounded by the bytes there are, whatever a header declares. A batch is cut into slices of a few MB; a longer text is handled alone.
 """
 
 from __future__ import annotations
@@ -145,6 +147,8 @@ def parse(data: bytes, at: int, end: int, scan_end) -> tuple[Image | None, int]:
         n = int.from_bytes(data[i + 2 : i + 4], "big")
         body = data[i + 4 : i + 2 + n]
         i += 2 + n
+        if n < 2 or i > end:
+            return None, end
         if marker == 0xFE:
             image.comment = image.comment or body
         elif marker == 0xDB:
@@ -153,13 +157,17 @@ def parse(data: bytes, at: int, end: int, scan_end) -> tuple[Image | None, int]:
                 image.quantisers[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC0:
+            if image.components:
+                return None, end
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
-            if body[0] != 8 or not image.width or not image.height:
+            if body[0] != 8 or not image.width or not image.height or not all(1 <= x <= 4 for _, h, v, _ in image.components for x in (h, v)):
                 return None, end
         elif marker == 0xC4:
             while body:
                 count = sum(body[1:17])
+                if len(body) < 17 + count or sum(n << (16 - length) for length, n in enumerate(body[1:17], 1)) > 1 << 16:
+                    return None, end  # symbols are missing, or more codes than there are
                 image.tables[body[0] >> 4, body[0] & 15] = body[1 : 17 + count]
                 body = body[17 + count :]
         elif marker == 0xDD:
@@ -207,6 +215,14 @@ def _geometry(image: Image) -> tuple[int, int, int, int, int, int]:
     return -(-image.height // (8 * most_v)), -(-image.width // (8 * most_h)), v, h, -(-high // 8), -(-wide // 8)
 
 
+def _holds(image: Image) -> bool:
+    """Are all tables there, and two bits for each declared block?"""
+    if any((0, dc) not in image.tables or (1, ac) not in image.tables for _, dc, ac in image.order) or image.components[0][3] not in image.quantisers:
+        return False
+    rows, cols, *_ = _geometry(image)
+    return rows * cols * len(image.order) <= 4 * (image.scan[1] - image.scan[0])
+
+
 def decode_luma(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[Image, np.ndarray]] | None]:
     """For each row its images with their DC-only luminance thumbnails (uint8), or None."""
     raw = data.tobytes()
@@ -224,7 +240,7 @@ def decode_luma(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[Image,
         while at < end:
             try:
                 image, at = parse(raw, at, end, scan_end)
-                if image is None or any((0, dc) not in image.tables or (1, ac) not in image.tables for _, dc, ac in image.order):
+                if image is None or not _holds(image):
                     raise ValueError
                 images.append((d, image))
             except (ValueError, IndexError, struct.error):
@@ -260,6 +276,7 @@ def _decode_scans(data, ff, follow, is_restart, images: list[Image]) -> list[np.
     keep[ff[follow == 0] + 1] = False
     new_at = np.cumsum(keep) - keep
     lane_at = np.append(new_at, keep.sum())[lane_from]
+    lane_end = np.append(lane_at[1:], keep.sum()) * 8  # kept bytes are one stream, so a lane ends where the next begins
     stream = np.concatenate([data[keep], np.zeros(16, np.uint8)])
     window = np.zeros(len(stream) - 8, np.uint64)
     for k in range(8):
@@ -289,14 +306,14 @@ def _decode_scans(data, ff, follow, is_restart, images: list[Image]) -> list[np.
         layout[k, : len(p)] = p
 
     by_length = np.argsort(-lane_blocks, kind="stable")
-    counts, pos = lane_blocks[by_length], lane_at[by_length] * 8
+    counts, pos, stop = lane_blocks[by_length], lane_at[by_length] * 8, lane_end[by_length]
     image_of = lane_image[by_length]
     shape, width = shape_of[image_of], per_mcu[image_of]
     same, solid = len(patterns) == 1, len(patterns) == 1 and widest == 1
     pred = np.zeros(len(counts), np.int64)
     base = np.cumsum(counts) - counts
     values = np.zeros(int(counts.sum()), np.int16)
-    broken = np.zeros(len(images), bool)
+    broken, dead = np.zeros(len(images), bool), np.zeros(len(counts), bool)
     limit = len(window) * 8 - 1
     for b in range(int(counts[0]) if len(counts) else 0):
         live = int(np.searchsorted(-counts, -b, "left"))
@@ -343,6 +360,12 @@ def _decode_scans(data, ff, follow, is_restart, images: list[Image]) -> list[np.
                 break
             who, k = (more if who is None else who[more]), k[more]
         pos[:live] = p
+        over = p > stop[:live]
+        if over.any():  # past the end of the scan or the restart interval
+            dead[:live] |= over
+            broken[image_of[:live][over]] = True
+            if dead[:live].all():
+                break
 
     # Back from lanes by length to images in order, then to the thumbnail's geometry.
     lane_base = np.empty(len(counts), np.int64)
@@ -359,7 +382,7 @@ def _decode_scans(data, ff, follow, is_restart, images: list[Image]) -> list[np.
         if len(image.order) > 1:
             blocks = blocks.reshape(-1, len(image.order))[:, : v * h]
         grid = blocks.reshape(rows, cols, v, h).transpose(0, 2, 1, 3).reshape(rows * v, cols * h)[:high, :wide]
-        quantiser = image.quantisers.get(image.components[0][3], 8)
+        quantiser = image.quantisers[image.components[0][3]]
         samples = grid + 128 if quantiser == 8 else np.rint(grid.astype(np.float64) * quantiser / 8 + 128)
         out.append(np.clip(samples, 0, 255).astype(np.uint8))
     return out
