@@ -59,6 +59,42 @@ def test_shards_merge(spark, shard, block):
     assert collections.Counter(map(tuple, got.collect())) == brute(rows, 5, 4)
 
 
+@pytest.mark.parametrize("bytes_", [0, 64 << 20])
+def test_shards_that_cannot_compete_are_left_out(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(op2_topk, "BOUND_BYTES", bytes_)
+    sent = []
+    monkeypatch.setattr(op2_topk, "materialize", lambda df, name: sent.append((name, materialize(df, name))) or sent[-1][1])
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(600):  # ten directions that have little in common
+        x = rng.random(10) * 0.02
+        x[i % 10] = 0.9 + 0.1 * rng.random()
+        rows.append((i, [float(v) for v in x]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op2_topk.top_k(df, F.col("vec_id") % 5 == 0, 20, shard_rows=60, block_rows=7).collect()
+    assert collections.Counter(map(tuple, got)) == brute(rows, 20, 5)
+    pairs = dict(sent)["pairs"].count()
+    assert pairs == 0 if bytes_ else pairs == 120 * 9
+
+
+def test_values_of_all_sizes(spark):
+    """Outliers have shards of their own; sums are exact in each type, beyond it held at the ends."""
+    rng = np.random.default_rng(8)
+    scales = [0.3, 0.3, 0.3, 40.0, 1e6, 1e12, 1e200, 1.7e308]
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 6) * scales[i % len(scales)]]) for i in range(160)] + [(200, [1.7e308, -1.7e308]), (204, [5e-324]), (208, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = lambda x: int(np.floor(64 * x)) if np.isfinite(64 * x) else 64 * int(x)
+    vectors = [[fine(x) for x in v] for _, v in rows]
+    want = collections.Counter()
+    for p, (i, _) in enumerate(rows):
+        if i % 4 == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vectors[p], v, strict=False)))), j) for o, ((j, _), v) in enumerate(zip(rows, vectors, strict=True)) if o != p)
+            want.update((i, r, j, -s) for r, (s, j) in enumerate(scored[:9], 1))
+    with np.errstate(over="ignore"):
+        got = op2_topk.top_k(df, F.col("vec_id") % 4 == 0, 9, shard_rows=30, block_rows=20).collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def test_top_k_of_huge_values_and_empty_tables(spark, tmp_path):
     rows = [(i, [1e30 * (i + 1), -1e25, 3.0]) for i in range(0, 8)]
     got = op2_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).collect()
