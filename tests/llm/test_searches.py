@@ -577,18 +577,34 @@ def test_empty_near_copies(spark, tmp_path):
     assert op10_jaccard.op10_jaccard(spark, write(spark, tmp_path, [])).count() == 0
 
 
-def test_runs_reach_the_recall():
-    for levels in (3, 5, 7):
-        runs = op10_jaccard.runs_for(levels)
-        rng = np.random.default_rng(levels)
-        found = total = 0
-        for _ in range(300):
-            a = rng.integers(0, 2**16, (1, op10_jaccard.TOKENS)).astype(np.uint16)
-            b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**16, a.shape)).astype(np.uint16)
-            p, q = (set(op10_jaccard.paths(x, levels, runs)[1].tolist()) for x in (a, b))
-            found += bool(p & q)
-            total += 1
-        assert found / total > 0.97
+@pytest.mark.parametrize("levels", [3, 4, 5, 7])
+def test_runs_reach_the_recall(levels):
+    runs, n = op10_jaccard.runs_for(levels), 4000
+    rng = np.random.default_rng(levels)
+    a = rng.integers(0, 2**16, (n, op10_jaccard.TOKENS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**16, a.shape)).astype(np.uint16)
+    p, q = (set(zip(*(x.tolist() for x in op10_jaccard.paths(side, levels, runs)), strict=True)) for side in (a, b))
+    assert len({row for row, _ in p & q}) >= (1 - 3 * (1 - op10_jaccard.RECALL)) * n
+
+
+@pytest.mark.parametrize("changes", [2, 9])
+def test_classes_alone_are_the_same(spark, tmp_path, monkeypatch, changes):
+    """Large components in blocks: one class, or several that only the rest of the pairs keeps apart."""
+    monkeypatch.setattr(op10_jaccard, "EXACT_BLOCK", 16)
+    rng = np.random.default_rng(changes)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.integers(0, changes)):
+            words[rng.integers(0, 150)] = f"x{i}{rng.integers(0, 99)}"
+        rows.append((i, " ".join(words)))
+    rows += near_rows(10, 3, 3)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = op10_jaccard.near_copies(docs, count_links=False).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in got) == collections.Counter((i, c) for (i, c, _), n in jaccard_brute(rows).items() for _ in range(n))
+    assert all(r["n_links"] is None for r in got)
 
 
 @settings(max_examples=8, deadline=None)

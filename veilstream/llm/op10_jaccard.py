@@ -17,11 +17,17 @@ is at least ``THRESHOLD``. Equal texts are one node and need no links.
    all pairs are compared exactly, by matrix products over the shingles that at least two texts share, block by block;
    what comes out is the number of links of each node and links that span the exact components. A pair lies within
    one component, so no link is counted twice and none inside a component is lost, whatever the buckets showed.
+   Where only classes are asked for, a component beyond ``EXACT_BLOCK`` texts is compared inside its blocks, then one text
+   of each class found so far with those of the others; only what is still in several classes after that needs the rest of the pairs.
 5. The components of the exact links are the classes.
 
 Defined results: a text of fewer than ``WORDS`` words has one shingle, all its words. Texts without words, nulls (as empty
 texts) among them, have no links; equal ones are a class. The class id is the smallest id in the class, null if it
-has none but nulls. Repeated rows are members like any other. An empty table gives no rows.
+has none but nulls. Repeated rows are members like any other. An empty table gives no rows. ``one_of_each`` keeps all columns;
+the name ``__near_place`` is reserved.
+
+``RECALL`` is the share of pairs at the threshold that are found, averaged over what their signatures agree in; more similar
+pairs are found more often, and a pair inside a component is found whatever the buckets showed.
 """
 
 from __future__ import annotations
@@ -135,12 +141,21 @@ def levels_for(nodes: int) -> int:
 
 
 def runs_for(levels: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
-    """Runs until a pair at the threshold is found with probability ``recall``. It is lost in a run if it dies out at some level."""
-    extra, lost = 1 / threshold - 1, 0.0
+    """Runs until a pair at the threshold is found with probability ``recall``. It is lost in a run if it dies out at some level.
+
+    All runs draw from the same signatures, so the loss is averaged over how many of their values agree.
+    """
+    agree = np.arange(TOKENS + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, TOKENS + 1)))])
+    share = np.exp(logs[TOKENS] - logs[agree] - logs[TOKENS - agree] + agree * math.log(threshold) + (TOKENS - agree) * math.log(1 - threshold))
+    extra, lost = 1 / THRESHOLD - 1, np.zeros(TOKENS + 1)
     for _ in range(levels):
-        child = 1 - threshold + threshold * lost
+        child = 1 - agree / TOKENS * (1 - lost)
         lost = child * (1 - extra + extra * child)
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    runs = 1
+    while (share * lost**runs).sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def paths(signature: np.ndarray, levels: int, runs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,10 +334,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return blocked.select("path", "a", "b", "key", "signature").mapInArrow(compared, "u binary, v binary")
 
 
-def _exact(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
-    """(u, v, links) of the candidates' components: links of u within a group, or a link u, v that spans."""
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = materialize(near.join(sizes, "root").select(F.col("node").alias("key"), F.xxhash64("root").alias("part"), "n"), "near")
+def _sets(docs: DataFrame, text: str, members: DataFrame) -> DataFrame:
+    """(part, key, n, shingles) of the members, with the shingles of their texts as bytes."""
     few = members.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     # By the key of the text itself: a row number of this scan need not be the one of another scan.
     texts = docs.select(_text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
@@ -336,10 +349,13 @@ def _exact(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(sets, pa.binary())], names=["part", "key", "n", "shingles"])
 
-    sets = texts.mapInArrow(cut, "part long, key binary, n long, shingles binary")
-    blocked = _blocked(sets, "part", F.col("n"), "key", EXACT_BLOCK)
+    return texts.mapInArrow(cut, "part long, key binary, n long, shingles binary")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compared(blocked: DataFrame) -> DataFrame:
+    """(u, v, links) of (part, a, b) groups of sets: links of u within a group, or a link u, v that spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in groups(batches, ["part", "a", "b"]):
             keys = table.column("key").to_pylist()
             a, own = table.column("a").to_numpy(), table.column("own").to_numpy()
@@ -353,25 +369,66 @@ def _exact(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
                 links += [*degree.tolist(), *[0] * len(x)]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(links, pa.int64())], names=["u", "v", "links"])
 
-    return materialize(blocked.select("part", "a", "b", "key", "own", "shingles").mapInArrow(compared, "u binary, v binary, links long"), "links")
+    return blocked.select("part", "a", "b", "key", "own", "shingles").mapInArrow(run, "u binary, v binary, links long")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
+def _members(near: DataFrame) -> DataFrame:
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
+    return materialize(near.join(sizes, "root").select(F.col("node").alias("key"), F.xxhash64("root").alias("part"), "n"), "near")
+
+
+def _exact(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
+    """(u, v, links) of the candidates' components: links of u within a group, or a link u, v that spans."""
+    return materialize(_compared(_blocked(_sets(docs, text, _members(near)), "part", F.col("n"), "key", EXACT_BLOCK)), "links")
+
+
+def _exact_spans(docs: DataFrame, text: str, near: DataFrame) -> DataFrame:
+    """(u, v): links that span the exact components, without those that large components don't need."""
+    members = _members(near)
+    spans = lambda sets: _compared(_blocked(sets, "part", F.col("n"), "key", EXACT_BLOCK)).filter("v IS NOT NULL").select("u", "v")
+    small = materialize(spans(_sets(docs, text, members.filter(F.col("n") <= EXACT_BLOCK))), "spans")
+    large = members.filter(F.col("n") > EXACT_BLOCK)
+    if large.isEmpty():
+        return small
+    sets = materialize(_sets(docs, text, large), "large-sets")
+    block = F.pmod(F.xxhash64("key", F.lit("block")), F.ceil(F.col("n") / F.lit(EXACT_BLOCK))).cast("int")
+    inside = sets.withColumn("a", block).select("part", "a", F.col("a").alias("b"), "key", F.col("a").alias("own"), "shingles").repartition("part", "a").sortWithinPartitions("part", "a", "key")
+    found = materialize(_compared(inside).filter("v IS NOT NULL").select("u", "v"), "inside")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        """(part, key, root) of all members of large components."""
+        roots = components(links).select(F.col("node").alias("key"), "root")
+        return large.select("part", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    first = rooted(found).filter("key = root").select("part", "key")
+    ones = sets.drop("n").join(first, ["part", "key"]).join(first.groupBy("part").agg(F.count("*").alias("n")), "part")
+    found = materialize(found.unionByName(spans(ones.select("part", "key", "n", "shingles"))), "ones")
+    apart = rooted(found).groupBy("part").agg(F.count_distinct("root").alias("classes")).filter("classes > 1").select("part")
+    apart = materialize(apart, "apart")
+    return small.unionByName(found) if apart.isEmpty() else small.unionByName(found).unionByName(spans(sets.join(apart, "part", "left_semi")))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", place: str | None = None, count_links: bool = True) -> DataFrame:
     """(place, doc_id, text_key, class_key, class_id, n_links) of every row; place is the column of that name, or null.
 
-    ``docs`` is read twice, in any partitions.
+    ``docs`` is read twice, in any partitions. Without ``count_links``, n_links is null and large components cost less.
     """
     number = F.col(place) if place else F.lit(None).cast("long")
     texts = docs.select(_text_key(F.col(text)).alias("key"), number.alias("place"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = materialize(_sign(texts), "signed")
     nodes = materialize(signed.filter("signature IS NOT NULL").groupBy("key").agg(F.min("signature").alias("signature")), "nodes")
     near = components(_candidates(nodes))
-    exact = _exact(docs, text, near)
-    links = exact.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
-    roots = components(exact.filter("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("key"), "root")
-    found = materialize(links.join(roots, "key", "left"), "found")  # a plain side, so that Spark can split a text with many copies
+    if count_links:
+        exact = _exact(docs, text, near)
+        links = exact.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
+        roots = components(exact.filter("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("key"), "root")
+        found = links.join(roots, "key", "left")
+    else:
+        found = components(_exact_spans(docs, text, near)).select(F.col("node").alias("key"), "root", F.lit(None).cast("long").alias("links"))
+    found = materialize(found, "found")  # a plain side, so that Spark can split a text with many copies
     rows = signed.select("key", "place", "doc_id").join(found, "key", "left")
-    rows = materialize(rows.select("place", "doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    number = F.coalesce("links", F.lit(0)) if count_links else F.col("links")
+    rows = materialize(rows.select("place", "doc_id", "key", F.coalesce("root", "key").alias("class_key"), number.cast("long").alias("n_links")), "classes")
     # Written first, so that the join has two plain exchanges and Spark can split the partition of a large class.
     classes = materialize(rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class-ids")
     return rows.join(classes, "class_key").select("place", "doc_id", F.col("key").alias("text_key"), "class_key", "class_id", "n_links")
@@ -381,7 +438,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each class of near copies: the one with the smallest id, then the first."""
     # Numbered once and written with the numbers: another scan of ``docs`` may split and so number it differently.
     places = materialize(docs.withColumn("__near_place", F.monotonically_increasing_id()), "places")
-    rows = near_copies(places, doc_id, text, "__near_place")
+    rows = near_copies(places, doc_id, text, "__near_place", count_links=False)
     first = materialize(rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))).alias("first")), "first")
     gone = materialize(rows.join(first, "class_key").filter(F.col("place") != F.col("first.place")).select(F.col("place").alias("__near_place")), "gone")
     few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
