@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -57,21 +58,47 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veilstream-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_root(spark)}/veilstream/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the application's own one in the shared folder, which goes when the driver's process ends."""
+    own = f"{shared_root(spark)}/veilstream/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already; what is left is in a folder of its own
+        return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive any executor."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned. Nothing that is still to be computed may read them."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        _delete(context._jvm, context._jsc.hadoopConfiguration(), df._written)
