@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "cells_exact_e1", "cells_exact_e2", "partials_final_equals_distinct", "suppress_e1_l1", "suppress_e1_l2", "suppress_e1_l3", "suppress_e2_l2", "fetch_cell",
-    "fetch_children_l2", "validate_classify", "pseudonymize_hmac", "hierarchy_fanout", "dedup_in_window", "late_drop_replay", "hll_parity_cells", "hll_native",
+    "fetch_children_l2", "stats_l2", "validate_classify", "pseudonymize_hmac", "hierarchy_fanout", "dedup_in_window", "late_drop_replay", "hll_parity_cells", "hll_native",
     "dp_noise", "reconcile_clean", "latency_quantiles", "json_round_trip", "stream_cells_e1",
 ]
 

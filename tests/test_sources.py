@@ -40,11 +40,12 @@ def test_batches(spark):
 
 def test_changes(spark):
     change = {"type": "edit", "namespace": 0, "user": "Alice", "bot": False, "wiki": "enwiki", "timestamp": 1700000000, "title": "x"}
-    rows = lines(spark, change, change, change | {"type": "wat"}, "garbage", {"type": "edit"})
+    far = [change | {"timestamp": t} for t in (9 * 10**18, -9 * 10**18, 8210266876800)]
+    rows = lines(spark, change, change, change | {"type": "wat"}, "garbage", {"type": "edit"}, *far)
     got = events.mapped_events(rows).collect()
     assert len(got) == 2 and got[0]["event_id"] == got[1]["event_id"] and len(got[0]["event_id"]) == 36
     assert (got[0]["family"], got[0]["kind"], got[0]["is_bot"]) == ("wikipedia", "edit", False)
-    assert {r["reason"]: r["n"] for r in events.skipped(rows).collect()} == {"parse_error": 2, "map_error": 1}
+    assert {r["reason"]: r["n"] for r in events.skipped(rows).collect()} == {"parse_error": 2, "map_error": 4}
 
 
 def cells(spark, users, batch_events=3, window="2026-09-23 10:15:00"):

@@ -15,7 +15,7 @@ from veilstream.plans.stats import BadRequest, Incomplete, Stats, is_complete, l
 from veilstream.sources.store import CellStore
 from veilstream.streaming.metrics import Metrics, consumer_lag, observed
 from veilstream.streaming.partitioned import PartitionClock, PartitionWindows, Window, partition_cells, run_available
-from veilstream.streaming.pipeline import prepared, start, stream_cells, stream_sketches
+from veilstream.streaming.pipeline import prepared, start, stream_cells, stream_counts, stream_sketches
 
 LOAD = loadgen.Load(rate=50, seconds=150, users=60)
 END = dt.datetime(2026, 1, 1, 1)
@@ -45,9 +45,9 @@ def test_restarts_lose_and_repeat_nothing(spark, tmp_path):
     for k in range(3):  # each run sees one more file and starts from the checkpoint
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "all" / f"part={k}").rename(tmp_path / "in" / f"part={k}")
-        start(stream_cells(prepare(stream(spark, tmp_path / "in"))), store, f"{tmp_path}/checkpoint").awaitTermination()
+        start(stream_counts(prepare(stream(spark, tmp_path / "in"))), store, f"{tmp_path}/checkpoint").awaitTermination()
     end.write.parquet(f"{tmp_path}/in/part=9")
-    start(stream_cells(prepare(stream(spark, tmp_path / "in"))), store, f"{tmp_path}/checkpoint").awaitTermination()
+    start(stream_counts(prepare(stream(spark, tmp_path / "in"))), store, f"{tmp_path}/checkpoint").awaitTermination()
     got = reconcile.reconcile(loadgen.truth(spark, LOAD), store.cells())
     assert got["passed"] and got["matched"] > 0
     stats = Stats(store, Settings(privacy_k=10))
@@ -63,11 +63,14 @@ def test_restarts_lose_and_repeat_nothing(spark, tmp_path):
             stats.stats(last, *bad)
 
 
-def test_stored_sketches(spark, tmp_path):
+@pytest.mark.parametrize("form", ["counts", "cells"])
+def test_stored_sketches(spark, tmp_path, form):
     _, end = drops(spark, tmp_path / "in")
     end.write.parquet(f"{tmp_path}/in/part=9")
     store = CellStore(spark, f"file://{tmp_path}/store")
-    start(stream_cells(prepare(stream(spark, tmp_path / "in")), sketches=True), store, f"{tmp_path}/checkpoint").awaitTermination()
+    rows = prepare(stream(spark, tmp_path / "in"))
+    cells = stream_counts(rows) if form == "counts" else stream_cells(rows, sketches=True)
+    start(cells, store, f"{tmp_path}/checkpoint", sketches=True).awaitTermination()
     assert reconcile.reconcile(loadgen.truth(spark, LOAD), store.cells())["passed"]
     stats = Stats(store, Settings(privacy_k=10))
     for level in (0, 1):

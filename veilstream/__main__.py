@@ -26,7 +26,7 @@ from veilstream.session import ship
 from veilstream.sources.ingest import landed
 from veilstream.sources.store import CellStore
 from veilstream.sources.truth import read_truth, write_truth
-from veilstream.streaming.pipeline import prepared, start, stream_cells
+from veilstream.streaming.pipeline import prepared, start, stream_counts
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -64,7 +64,7 @@ def run(spark: SparkSession, argv: list[str], settings: Settings | None = None,
     store = CellStore(spark, args.store)
     if args.command == "aggregate":
         events = prepared(landed(spark, args.landing), F.current_timestamp(), settings if settings.pseudonym_salt else None)
-        query = start(stream_cells(events, sketches=settings.hll_enabled), store, f"{args.store}/checkpoint", every=args.every)
+        query = start(stream_counts(events), store, f"{args.store}/checkpoint", every=args.every, sketches=settings.hll_enabled)
         query.awaitTermination()
         say(batches=len(query.recentProgress), watermark=store.min_watermark())
     elif args.command == "latest":

@@ -27,9 +27,19 @@ def alpha(registers: int) -> float:
 
 
 def _hash(users: pd.Series) -> np.ndarray:
-    """Hashes of many texts at once: byte by byte over a padded matrix, in order of length."""
+    """Hashes of many texts: by classes of length, so that one long text doesn't pad all others."""
     raw = [str(u).encode() for u in users]
     lengths = np.fromiter((len(r) for r in raw), np.int64, len(raw))
+    out = np.zeros(len(raw), np.uint64)
+    classes = np.ceil(np.log2(np.maximum(lengths, 64))).astype(np.int64)
+    for c in np.unique(classes):
+        some = np.flatnonzero(classes == c)
+        out[some] = _hash_padded([raw[i] for i in some], lengths[some])
+    return out
+
+
+def _hash_padded(raw: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """Byte by byte over a padded matrix, in order of length."""
     out = np.full(len(raw), FNV_OFFSET, np.uint64)
     order = np.argsort(-lengths, kind="stable")
     widest = int(lengths.max(initial=0))

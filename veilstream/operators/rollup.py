@@ -54,7 +54,11 @@ def batch_cells(events: DataFrame, size: str | None = WINDOW, extra: list[str] |
     extra = extra or []
     windowed = events if size is None else events.withColumn("window_start", window_start(F.col("ts"), size))
     keys = ["window_start", *extra]
-    finest = windowed.groupBy(*keys, "family", "wiki", "namespace", "user").agg(F.count("*").alias("n"))
+    return rolled_up(windowed.groupBy(*keys, "family", "wiki", "namespace", "user").agg(F.count("*").alias("n")), keys)
+
+
+def rolled_up(finest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, family, wiki, namespace, user, n), one row a user and finest cell, to the cells of all four levels."""
     rolled = finest.sparkSession.sql(
         f"""
         SELECT {", ".join(keys)}, family, wiki, namespace, grouping_id() AS rolled,

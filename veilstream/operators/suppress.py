@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilstream.plans.model import ANY, GLOBAL, K, NAMESPACE, WIKI
 
@@ -40,15 +41,13 @@ def suppress(children: DataFrame, keys: list[str], k: int = K) -> DataFrame:
 
 def with_parents(cells: DataFrame, level: int) -> tuple[DataFrame, list[str]]:
     """Cells of a level with ``parent_users`` (0 without a parent row), and the columns that name a parent."""
-    keys = ["window_start", *(["parent_family"] if level >= WIKI else []), *(["parent_wiki"] if level >= NAMESPACE else [])]
-    parents = cells.filter(F.col("level") == level - 1).select(
-        "window_start", *([F.col("family").alias("parent_family")] if level >= WIKI else []), *([F.col("wiki").alias("parent_wiki")] if level >= NAMESPACE else []), F.col("users").alias("parent_users")
-    )
-    children = cells.filter(F.col("level") == level).select(
-        "window_start", *([F.col("family").alias("parent_family")] if level >= WIKI else []), *([F.col("wiki").alias("parent_wiki")] if level >= NAMESPACE else []),
-        "family", "wiki", "namespace", "events", "users",
-    )
-    return children.join(parents, keys, "left").withColumn("parent_users", F.coalesce("parent_users", F.lit(0))), keys
+    axes = [*(["family"] if level >= WIKI else []), *(["wiki"] if level >= NAMESPACE else [])]
+    keys = ["window_start", *(f"parent_{a}" for a in axes)]
+    # A parent has the axes that name it in common with its children, so both levels of one rollup meet in a window.
+    both = cells.filter(F.col("level").isin(level - 1, level)).withColumns({f"parent_{a}": F.col(a) for a in axes})
+    parent = F.max(F.when(F.col("level") == level - 1, F.col("users"))).over(Window.partitionBy(*keys))
+    children = both.withColumn("parent_users", F.coalesce(parent, F.lit(0))).filter(F.col("level") == level)
+    return children.select(*keys, "family", "wiki", "namespace", "events", "users", "parent_users"), keys
 
 
 def release(cells: DataFrame, level: int, k: int = K) -> DataFrame:

@@ -9,6 +9,8 @@ from veilstream.functions.scalar import family_for_wiki, is_kind
 from veilstream.plans.model import EVENT, EVENT_BATCH, MAX_BATCH, RECENT_CHANGE
 
 REQUIRED = [f.name for f in EVENT.fields]
+#: Unix seconds that a timestamp can have. The first and last second of the calendar that upstream clients know.
+FIRST_SECOND, LAST_SECOND = -8334601228800, 8210266876799
 #: Timestamps in JSON keep microseconds.
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -54,24 +56,32 @@ def decode_changes(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select(*[F.col(f"__change.{n}").alias(n) for n in names], broken.alias("parse_error"))
 
 
+def mappable(kind: Column, seconds: Column) -> Column:
+    """Is the type known, and the time one that a timestamp can have?"""
+    return is_kind(kind) & F.coalesce(seconds.between(FIRST_SECOND, LAST_SECOND), F.lit(False))
+
+
 def changes_to_events(changes: DataFrame) -> DataFrame:
-    """Events of change records. The id is a hash of the record, so a replay is recognised; ``map_error`` marks unknown types."""
+    """Events of change records. The id is a hash of the record, so a replay is recognised; ``map_error`` marks unknown types and times out of range."""
+    fine = mappable(F.col("type"), F.col("timestamp"))
     names = [f.name for f in RECENT_CHANGE.fields]
     digest = F.md5(F.concat_ws("\x1f", *[F.col(n).cast("string") for n in names]).cast("binary"))
     uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return changes.select(
-        uuid.alias("event_id"), "user", F.timestamp_seconds("timestamp").alias("ts"), family_for_wiki(F.col("wiki")).alias("family"),
-        "wiki", "namespace", F.col("type").alias("kind"), F.col("bot").alias("is_bot"), (~is_kind(F.col("type"))).alias("map_error"),
+        uuid.alias("event_id"), "user", F.when(fine, F.timestamp_seconds("timestamp")).alias("ts"), family_for_wiki(F.col("wiki")).alias("family"),
+        "wiki", "namespace", F.col("type").alias("kind"), F.col("bot").alias("is_bot"), (~fine).alias("map_error"),
     )
 
 
 def mapped_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Captured lines to events; what can't be parsed or mapped is skipped and counted by the observation ``source``."""
-    events = changes_to_events(decode_changes(lines, value).filter("NOT parse_error"))
-    return events.filter("NOT map_error").drop("map_error")
+    """Captured lines to events; what can't be parsed or mapped is skipped, and counted by the observation ``wiki_source``."""
+    mapped = changes_to_events(decode_changes(lines, value).withColumn("type", F.when(~F.col("parse_error"), F.col("type"))))
+    reason = F.when(F.col("kind").isNull(), F.lit("parse_error")).when(F.col("map_error"), F.lit("map_error"))
+    counted = mapped.observe("wiki_source", F.count_if(reason == "parse_error").alias("skipped_parse_error"), F.count_if(reason == "map_error").alias("skipped_map_error"), F.count_if(reason.isNull()).alias("events_mapped"))
+    return counted.filter("NOT map_error").drop("map_error")
 
 
 def skipped(lines: DataFrame, value: str = "value") -> DataFrame:
     """(reason, n) of captured lines that ``mapped_events`` leaves out."""
-    rows = decode_changes(lines, value).withColumn("reason", F.when(F.col("parse_error"), "parse_error").when(~is_kind(F.col("type")), "map_error"))
+    rows = decode_changes(lines, value).withColumn("reason", F.when(F.col("parse_error"), "parse_error").when(~mappable(F.col("type"), F.col("timestamp")), "map_error"))
     return rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))

@@ -17,12 +17,16 @@ from pyspark.sql.streaming import StreamingQuery
 from veilstream.functions import hll
 from veilstream.functions.pseudonym import pseudonymize, pseudonymize_secret
 from veilstream.functions.scalar import kpartition
-from veilstream.operators.rollup import fan_out
+from veilstream.operators.rollup import fan_out, rolled_up
 from veilstream.operators.validate import validation_error
 from veilstream.plans.model import CELL, LATENESS, PARTITIONS, WINDOW, Settings
 from veilstream.sources.store import CellStore
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def prepared(events: DataFrame, now: Column, settings: Settings | None = None, partitions: int = PARTITIONS) -> DataFrame:
     """Valid events under their pseudonym, with the partition that the pseudonym has. A given salt is for tests; else executors read theirs."""
     salt = settings.pseudonym_salt if settings else ""
@@ -40,11 +44,12 @@ def deduplicated(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS
 def stream_cells(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS, sketches: bool = False) -> DataFrame:
     """(window_start, level, family, wiki, namespace, kpartition, events, users[, users_hll]) of closed windows.
 
-    With sketches, users are summed by register first: a cell's sketch is gathered from at most 4,096 rows.
+    Events are counted per user and finest cell before they are fanned out, so that the state of open windows holds these counts
+    and not each event four times. With sketches, users are summed by register first: a cell's sketch is gathered from at most 4,096 rows.
     """
-    cells = fan_out(deduplicated(events, size, lateness).select("w", "family", "wiki", "namespace", "kpartition", "user"))
     keys = ["w", *CELL, "kpartition"]
-    per_user = cells.groupBy(*keys, "user").agg(F.count("*").alias("n"))
+    finest = deduplicated(events, size, lateness).groupBy("w", "family", "wiki", "namespace", "kpartition", "user").agg(F.count("*").alias("n"))
+    per_user = fan_out(finest).groupBy(*keys, "user").agg(F.sum("n").alias("n"))
     columns = [F.col("w.start").alias("window_start"), *CELL, "kpartition", "events", "users"]
     if not sketches:
         return per_user.groupBy(*keys).agg(F.sum("n").cast("long").alias("events"), F.count("*").alias("users")).select(*columns)
@@ -55,20 +60,42 @@ def stream_cells(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS
     return summed.select(*columns, hll.sketch_bytes(F.col("filled")).alias("users_hll"))
 
 
+def stream_counts(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
+    """(window_start, family, wiki, namespace, kpartition, user, n) of closed windows: what ``closed_cells`` makes cells of.
+
+    A window's rows all come in the batch that closes it, so its cells need no state of their own: the state is that of ids and of one
+    count for each user and finest cell.
+    """
+    counts = deduplicated(events, size, lateness).groupBy("w", "family", "wiki", "namespace", "kpartition", "user").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), "family", "wiki", "namespace", "kpartition", "user", "n")
+
+
+def closed_cells(counts: DataFrame, sketches: bool = False) -> DataFrame:
+    """Cells of the windows that a batch of ``stream_counts`` closes."""
+    cells = rolled_up(counts, ["window_start", "kpartition"])
+    if not sketches:
+        return cells
+    keys = ["window_start", *CELL, "kpartition"]
+    stored = hll.to_bytes(hll.registers(fan_out(counts), keys), keys)
+    return cells.join(stored, keys, "left")
+
+
 def stream_sketches(events: DataFrame, size: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
     """Cells with Spark's own sketch of the users instead of their count; state of fixed size for each cell."""
     cells = fan_out(deduplicated(events, size, lateness).select("w", "family", "wiki", "namespace", "kpartition", "user"))
     return cells.groupBy("w", *CELL, "kpartition").agg(F.count("*").alias("events"), hll.native_sketch(F.col("user")).alias("sketch")).select(F.col("w.start").alias("window_start"), *CELL, "kpartition", "events", "sketch")
 
 
-def flush_to(store: CellStore, partitions: int = PARTITIONS, size: str = WINDOW) -> Callable[[DataFrame, int], None]:
+def flush_to(store: CellStore, partitions: int = PARTITIONS, size: str = WINDOW, sketches: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: closed windows replace what the store has of them, then every partition's progress moves on.
 
+    It takes cells, or counts per user, of which it makes cells.
+
     Progress is written for all partitions whenever a window closes, so that a silent one doesn't hold windows back.
     """
 
     def flush(closed: DataFrame, batch: int) -> None:
-        rows = closed.persist()
+        rows = (closed_cells(closed, sketches) if "user" in closed.columns else closed).persist()
         try:
             last = rows.agg(F.max("window_start")).first()[0]
             if last is None:
@@ -82,7 +109,13 @@ def flush_to(store: CellStore, partitions: int = PARTITIONS, size: str = WINDOW)
     return flush
 
 
-def start(cells: DataFrame, store: CellStore, checkpoint: str, partitions: int = PARTITIONS, size: str = WINDOW, every: str | None = None) -> StreamingQuery:
-    """Run until stopped, or over all that is there if no interval is given."""
-    writer = cells.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(flush_to(store, partitions, size))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def start(cells: DataFrame, store: CellStore, checkpoint: str, partitions: int = PARTITIONS, size: str = WINDOW, every: str | None = None, sketches: bool = False) -> StreamingQuery:
+    """Run until stopped, or over all that is there if no interval is given. State is kept in RocksDB, outside the heap."""
+    conf = cells.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)  # a query keeps what is set when it starts
+    try:
+        writer = cells.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(flush_to(store, partitions, size, sketches))
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)

@@ -16,7 +16,7 @@ from veilstream.sources.adapters import clicks
 from veilstream.sources.store import CellStore
 from veilstream.session import work_dir
 from veilstream.streaming.partitioned import partition_cells, run_available
-from veilstream.streaming.pipeline import start, stream_cells
+from veilstream.streaming.pipeline import start, stream_counts
 
 MARKER = "2030-01-01 00:00:00"
 
@@ -37,7 +37,7 @@ def _input(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> CellStore:
     folder = work_dir(spark, "stream")
     store = CellStore(spark, f"{folder}/store")
-    query = start(stream_cells(_input(spark, sf_dir, f"{folder}/in"), "1 day", "1 day"), store, f"{folder}/checkpoint", size="1 day")
+    query = start(stream_counts(_input(spark, sf_dir, f"{folder}/in"), "1 day", "1 day"), store, f"{folder}/checkpoint", size="1 day")
     query.awaitTermination()
     return store
 
