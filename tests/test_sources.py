@@ -2,6 +2,7 @@ import datetime as dt
 import http.server
 import json
 import threading
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from veilstream.plans.model import Settings
 from veilstream.sources import events, kafka, sse
 from veilstream.sources.store import CellStore
 from veilstream.sources.truth import read_truth, write_truth
+from veilstream.streaming.metrics import Metrics
 
 GOOD = {"event_id": "e1", "user": "Alice", "ts": "2026-09-23T10:15:47.123456789Z", "family": "wikipedia", "wiki": "enwiki", "namespace": 0, "kind": "edit", "is_bot": False}
 
@@ -90,6 +92,29 @@ def test_kafka_options():
     assert source["startingOffsets"] == "earliest" and source["maxOffsetsPerTrigger"] == "10000"
 
 
+def test_messages_through_a_file_topic(spark, tmp_path):
+    """What the Kafka sink would be given, and what the aggregator makes of it, with files in place of a topic."""
+    topic, metrics = f"{tmp_path}/topic", Metrics()
+
+    def run(rows, to):
+        query = rows.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{to}-c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        for p in query.recentProgress:
+            metrics.onQueryProgress(SimpleNamespace(progress=p))
+
+    for k, users in enumerate((["Alice", "Bob"], ["Alice"])):  # the second run starts from the checkpoint and sends new events only
+        sent = events.decode_events(lines(spark, *[GOOD | {"user": u, "event_id": f"{k}{u}"} for u in users])).drop("decode_error")
+        sent.write.parquet(f"{tmp_path}/sent/part={k}")
+        frame = kafka.messages(spark.readStream.schema(sent.schema).parquet(f"{tmp_path}/sent/part=*"))
+        assert [(f.name, f.dataType.simpleString()) for f in frame.schema] == [("key", "string"), ("value", "string")]
+        run(frame, topic)
+    spark.createDataFrame([("x", "no json"), ("y", json.dumps(GOOD | {"kind": "wat"})), ("z", None)], "key string, value string").write.mode("append").parquet(topic)
+    run(events.decoded_events(spark.readStream.schema("key string, value string").parquet(f"{topic}/part-*")), f"{tmp_path}/read")
+    got = spark.read.parquet(f"{tmp_path}/read").collect()
+    assert sorted((r["key"], r["user"], r["event_id"]) for r in got) == [("Alice", "Alice", "0Alice"), ("Alice", "Alice", "1Alice"), ("Bob", "Bob", "0Bob")]
+    assert (metrics.totals["ingest_kafka_produced"], metrics.totals["aggregator_decode_errors"], metrics.totals["aggregator_events_decoded"]) == (3, 3, 3)
+
+
 def test_sse_parse_and_backoff():
     got = list(sse.parse([": hello\n", "id: 1\n", "data: {\n", "data: }\n", "\n", "event: x\n", "\n", "data: b\n", "id: 2\n", "\n"]))
     assert got == [("1", "{\n}"), ("2", "b")]

@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from veilstream.operators import loadgen, reconcile
@@ -63,6 +64,36 @@ def test_restarts_lose_and_repeat_nothing(spark, tmp_path):
             stats.stats(last, *bad)
 
 
+class Torn(CellStore):
+    """A store whose first flush is lost half way: while cells are written, or between cells and progress."""
+
+    def __init__(self, spark, path, at):
+        super().__init__(spark, path)
+        self.at = at
+
+    def flush(self, cells, progress, batch):
+        fail, at, self.at = F.raise_error(F.lit("lost")).cast("long"), self.at, None
+        if at == "cells":
+            cells = cells.withColumn("events", F.when(F.col("level") == 2, fail).otherwise(F.col("events")))
+        if at == "progress":
+            progress = progress.withColumn("committed_offset", fail)
+        super().flush(cells, progress, batch)
+
+
+@pytest.mark.parametrize("at", ["cells", "progress"])
+def test_a_batch_lost_half_way_is_written_again(spark, tmp_path, at):
+    _, end = drops(spark, tmp_path / "in")
+    end.write.parquet(f"{tmp_path}/in/part=9")
+    store = Torn(spark, f"file://{tmp_path}/store", at)
+    run = lambda: start(stream_counts(prepare(stream(spark, tmp_path / "in"))), store, f"{tmp_path}/checkpoint").awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert store.min_watermark() is None and store.at is None
+    run()
+    got = reconcile.reconcile(loadgen.truth(spark, LOAD), store.cells())
+    assert got["passed"] and got["matched"] > 0
+
+
 @pytest.mark.parametrize("form", ["counts", "cells"])
 def test_stored_sketches(spark, tmp_path, form):
     _, end = drops(spark, tmp_path / "in")

@@ -29,6 +29,14 @@ def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def decoded_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The events that can be decoded, with the other columns; the rest is skipped, and counted by the observation ``aggregator``."""
+    rows = decode_events(lines, value)
+    bad = F.col("decode_error").isNotNull()
+    counted = rows.observe("aggregator", F.count_if(bad).alias("decode_errors"), F.count_if(~bad).alias("events_decoded"))
+    return counted.filter(~bad).drop("decode_error")
+
+
 def encode_events(events: DataFrame) -> DataFrame:
     """(key, value): the user, and the event as JSON."""
     return events.select(F.col("user").alias("key"), F.to_json(F.struct(*REQUIRED), JSON_TIME).alias("value"))

@@ -32,6 +32,11 @@ def read_events(spark: SparkSession, settings: Settings) -> DataFrame:
     return rows.select(F.col("partition").alias("kpartition"), "offset", F.col("value").cast("string").alias("value"))
 
 
+def messages(events: DataFrame) -> DataFrame:
+    """(key, value) of pseudonymized events, counted by the observation ``ingest_kafka``."""
+    return encode_events(events).observe("ingest_kafka", F.count("*").alias("produced"))
+
+
 def write_events(events: DataFrame, settings: Settings, checkpoint: str) -> StreamingQuery:
     """Pseudonymized events to the topic, keyed by pseudonym."""
-    return encode_events(events).writeStream.format("kafka").options(**sink_options(settings)).option("checkpointLocation", checkpoint).start()
+    return messages(events).writeStream.format("kafka").options(**sink_options(settings)).option("checkpointLocation", checkpoint).start()
