@@ -72,6 +72,28 @@ def test_compaction_versions_and_conflicts(spark, tmp_path):
     assert table.vacuum() > 0 and table.read().count() == 4000
 
 
+def test_writers_that_come_second(spark, tmp_path, monkeypatch):
+    df = spark.range(300).coalesce(1)
+    table, other = (op1_sharding.ShardTable(spark, f"file://{tmp_path}/t", df.schema) for _ in range(2))
+    options = {"target_bytes": 1 << 20, "base_bytes": 1 << 10}
+    whole, first = table._commit, []
+
+    def beaten(by):
+        """Let another writer commit between this one's look at the version and its commit, once."""
+        first.append(by)
+        monkeypatch.setattr(table, "_commit", lambda version, live: (first and first.pop()(), whole(version, live))[1])
+
+    beaten(lambda: other.append(df))
+    assert table.append(df, rows_per_shard=50) == 2 and table.read().count() == 600
+    beaten(lambda: other.append(df))
+    assert table.compact(**options) == 4 and table.read().count() == 900 and table.manifest().count() == 2
+    table.append(df, rows_per_shard=50)
+    beaten(lambda: other.compact(**options))
+    with pytest.raises(op1_sharding.CommitConflict):
+        table.compact(**options)
+    assert table.read().count() == 1200 and len(list((tmp_path / "t" / "manifests").iterdir())) == table.version()
+
+
 def test_tiers_hold_similar_sizes(spark, tmp_path):
     table = op1_sharding.ShardTable(spark, f"file://{tmp_path}/t", spark.range(1).schema)
     sizes = [10, 11, 12, 13, 14, 100, 110, 900, 5000]

@@ -2,9 +2,10 @@
 
 A shard table is a folder: ``data/`` holds immutable Parquet files, ``manifests/<id>/`` the list of live files of one
 version, and ``commits/v<number>`` a marker file naming the manifest of that version. A writer prepares everything
-under fresh names and then renames its marker into place; the rename fails if the version exists, so of two
-concurrent writers one wins and the other raises ``CommitConflict``. Readers see whole versions only. Files
-that no committed manifest names are garbage of lost writers; ``vacuum`` deletes them.
+under fresh names and then renames its marker into place; the rename fails if the version exists, so one of two
+concurrent writers wins. The other commits what it has written upon the winner's version; only where that has merged shards
+that were to be merged here, ``CommitConflict`` is raised. Readers see whole versions only. Files that no committed
+manifest names are garbage of lost writers; ``vacuum`` deletes them, and is to be run while nothing is written.
 
 ``append`` writes what arrives without a shuffle, at most ``rows_per_shard`` rows a file. ``compact`` puts the live
 shards into tiers by size (a factor of ``fanout`` each), cuts each tier into runs of up to ``target_bytes`` in file order
@@ -87,21 +88,34 @@ class ShardTable:
             files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(marker), none)
         except Py4JJavaError as e:
             self._fs.delete(draft, False)
+            self._fs.delete(self._at(f"manifests/{name}"), True)
             if "FileAlreadyExists" in str(e.java_exception):
                 raise CommitConflict(f"version {version + 1} of {self.path}") from e
             raise
         return version + 1
 
+    def _commit_upon(self, version: int, added: DataFrame, merged: DataFrame | None = None, n: int = 0) -> int:
+        """Commit a version's shards without the ``n`` ``merged`` ones and with the ``added`` ones; upon the last version, if another writer comes first."""
+        same = F.col("file") == F.col("__shard_file")
+        while True:
+            live = self.manifest(version)
+            try:
+                return self._commit(version, (live if merged is None else live.join(merged, same, "left_anti")).unionByName(added))
+            except CommitConflict:
+                version = self.version()
+                if merged is not None and self.manifest(version).join(merged, same, "left_semi").count() < n:
+                    raise
+
     def _shards(self, folder: str) -> DataFrame:
         """What a finished write left in a folder below data/."""
         files = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}")
         return files.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
 
     def append(self, df: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> int:
-        """Add rows as small shards, without a shuffle; returns the version."""
-        version, folder = self.version(), f"a-{uuid.uuid4().hex}"
+        """Add rows as small shards, without a shuffle; returns the version. Rows are written once, however many writers come first."""
+        folder = f"a-{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", rows_per_shard).option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
-        return self._commit(version, self.manifest(version).unionByName(self._shards(folder)))
+        return self._commit_upon(self.version(), self._shards(folder))
 
     def plan(self, version: int, target_bytes: int, fanout: int, min_runs: int, base_bytes: int) -> DataFrame:
         """(file, run) for the shards to merge; runs count from 0. The window is over the manifest, not over rows."""
@@ -133,8 +147,7 @@ class ShardTable:
         merged = rows.join(plan, F.col("__shard_of") == F.col("__shard_file")).repartitionById(runs, F.col("__shard_run")).drop("__shard_of", "__shard_file", "__shard_run")
         folder = f"m-{uuid.uuid4().hex}"
         merged.write.option("compression", "zstd").parquet(f"{self.path}/data/{folder}")
-        kept = self.manifest(version).join(plan, F.col("file") == F.col("__shard_file"), "left_anti")
-        return self._commit(version, kept.unionByName(self._shards(folder)))
+        return self._commit_upon(version, self._shards(folder), plan, len(todo))
 
     def compact_all(self, **options) -> int:
         """Rounds until no run is left to merge; each round at least halves the number of shards that it touches."""
