@@ -31,6 +31,15 @@ def local_session(cpus: str | int = 8, partitions: int = 8) -> SparkSession:
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise. Spark's own bound is 64 MB.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, which are held twice in the JVM and once in Python; an explicit setting stays."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
@@ -47,11 +56,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The query, with the package on the executors."""
+    """The query, with the package on the executors and bounded Arrow batches."""
 
     @wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
         ship(spark)
+        bound_batches(spark)
         return query(spark, *args)
 
     return run
