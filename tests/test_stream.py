@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from veilstream.operators import loadgen, reconcile
 from veilstream.operators.rollup import finalize
+from veilstream.operators.suppress import release
 from veilstream.plans.model import EVENT, Settings
+from veilstream.plans.queries import click_cells
 from veilstream.plans.stats import BadRequest, Incomplete, Stats, is_complete, latest_window, parent_key
 from veilstream.sources.store import CellStore
+from veilstream.streaming import queries as stream_queries
 from veilstream.streaming.metrics import Metrics, consumer_lag, observed
 from veilstream.streaming.partitioned import PartitionClock, PartitionWindows, Window, partition_cells, run_available
 from veilstream.streaming.pipeline import prepared, start, stream_cells, stream_counts, stream_sketches
@@ -160,6 +163,30 @@ def test_stateful_form(spark, tmp_path):
     assert rows.filter("window_start IS NULL").select("kpartition").distinct().count() == 12
 
 
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """The events in files without any order of time, each of which is a task: more files than a trigger takes."""
+    folder = tmp_path_factory.mktemp("scattered")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(12, F.hash("event_id")).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_cells_e1"])
+def test_a_stream_of_many_triggers_gives_the_batch_result(spark, scattered, monkeypatch, name):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 100, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+    try:
+        got = stream_queries.STREAMS[name](spark, scattered)
+        want = click_cells(spark, scattered)
+        want = release(want, 2) if name == "stream_released_e1" else want
+        rows = lambda df: sorted(map(str, df.select(*[F.col(c).cast("string") for c in sorted(want.columns)]).collect()))
+        assert rows(got) == rows(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 S = 10**6
 
 

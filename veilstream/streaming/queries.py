@@ -6,6 +6,8 @@ and left out of the result; all windows of the data close, and the batch result
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,46 @@ from veilstream.streaming.partitioned import partition_cells, run_available
 from veilstream.streaming.pipeline import start, stream_counts
 
 MARKER = "2030-01-01 00:00:00"
+#: Rows of a file of the stream.
+FILE_ROWS = 250_000
 
 
 def _input(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """A stream of two drops of files: the clicks, each third one sent twice, then the marker."""
+    """A stream of two drops of files: the clicks, each third one sent again six hours later, then the marker.
+
+    The files hold consecutive stretches of time and come in that order, however many triggers they take: no click is late.
+    """
     events = clicks(spark, sf_dir).drop("value").withColumn("kpartition", F.pmod(F.col("user").cast("long"), F.lit(12)).cast("int")).withColumn("ts", F.col("ts").cast("timestamp"))
-    twice = events.unionByName(events.filter(F.col("event_id").cast("long") % 3 == 0))
-    twice.write.parquet(f"{folder}/drop=1")
+    again = events.filter(F.col("event_id").cast("long") % 3 == 0).withColumn("sent", F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    twice = events.withColumn("sent", F.col("ts")).unionByName(again)
+    twice.repartitionByRange(max(1, -(-twice.count() // FILE_ROWS)), "sent").drop("sent").write.parquet(f"{folder}/drop=1")
     last = spark.range(12).select(
         F.concat(F.lit("marker-"), "id").alias("event_id"), F.lit("0").alias("user"), F.lit(MARKER).cast("timestamp").alias("ts"), F.lit("-").alias("family"), F.lit("-").alias("wiki"),
         F.lit(0).alias("namespace"), F.col("id").cast("int").alias("kpartition"),
     )
-    last.write.parquet(f"{folder}/drop=2")
+    last.coalesce(1).write.parquet(f"{folder}/drop=2")
+    _put_in_order(spark, [f"{folder}/drop=1", f"{folder}/drop=2"])
     return spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/drop=*")
 
 
+def _put_in_order(spark: SparkSession, folders: list[str]) -> None:
+    """Date the files of the folders a second apart, by folder and number of the task: a file stream reads by modification time."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folders[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def files() -> list:
+        found = [[s for s in fs.listStatus(path_of(f)) if s.getPath().getName().startswith("part-")] for f in folders]
+        return [s for f in found for s in sorted(f, key=lambda s: (int(s.getPath().getName().split("-")[1]), s.getPath().getName()))]
+
+    written = files()
+    first = int(time.time()) - len(written)
+    for n, status in enumerate(written):
+        fs.setTimes(status.getPath(), (first + n) * 1000, -1)
+    dates = [s.getModificationTime() for s in files()]
+    if any(a >= b for a, b in zip(dates, dates[1:], strict=False)):
+        raise RuntimeError("the file system of spark.checkpoint.dir doesn't keep modification times, which the stream's files are ordered by")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> CellStore:
     folder = work_dir(spark, "stream")
     store = CellStore(spark, f"{folder}/store")
