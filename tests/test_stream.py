@@ -171,7 +171,7 @@ def scattered(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["stream_cells_e1"])
+@pytest.mark.parametrize("name", ["stream_cells_e1", "stream_partitioned"])
 def test_a_stream_of_many_triggers_gives_the_batch_result(spark, scattered, monkeypatch, name):
     monkeypatch.setattr(stream_queries, "FILE_ROWS", 100, raising=False)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
@@ -208,6 +208,15 @@ def test_close_boundary_and_late():
     assert c.see(at(5)) is None and c.latest == at(200)
 
 
+def test_nothing_is_late_in_the_first_batch():
+    c = PartitionClock(60 * S, 30 * S)
+    assert c.see(at(864_000)) == 864_000 * S and c.see(at(0)) == 0 and c.see(at(300_000)) == 300_000 * S
+    assert c.flushed == at(-86_400) and c.latest == at(864_000)
+    assert c.close([0, 300_000 * S, 864_000 * S]) == [0, 300_000 * S] and c.flushed == at(863_970)
+    c = PartitionClock(60 * S, 30 * S, c.latest, c.flushed)
+    assert c.see(at(5)) is None and c.see(at(864_001)) == 864_000 * S
+
+
 def test_idle_closes_and_watermark_never_goes_back():
     c = clock()
     c.see(at(5))

@@ -65,11 +65,13 @@ class PartitionClock:
 
     def __init__(self, size: int, lateness: int, latest: int | None = None, flushed: int | None = None):
         self.size, self.lateness, self.latest, self.flushed = size, lateness, latest, flushed
+        self.new = latest is None
 
     def see(self, ts: int) -> int | None:
         """Take note of an event; its window, or None if it is late."""
-        if self.latest is None:
-            self.latest = self.flushed = ts - DAY  # a new partition has flushed nothing
+        if self.new:  # a new partition has flushed nothing; the rows of its first batch come in any order
+            self.latest, self.flushed = (ts - DAY if x is None else x for x in (self.latest, self.flushed))
+            self.flushed = min(self.flushed, ts - DAY)
         self.latest = max(self.latest, ts)
         window = ts // self.size * self.size
         return None if window + self.size <= self.flushed else window
