@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.llm import op3_secrets, op6_mixing, op8_language, op9_packing, op10_jaccard
-from veilstream.session import discard, materialize
+from veilstream.session import discard, materialize, shipped
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_packing.pack(op9_packing.pieces_of(docs))
 
 
-STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secrets), ("source_mix", source_mix), ("packing", packing)]
+#: Each by itself brings what a query brings to a session: the package on the executors and bounded Arrow batches.
+STAGES = [(stage.__name__, shipped(stage)) for stage in (language, near_copies, secrets, source_mix, packing)]
 
 #: SQL can express neither the learned model nor the tokens; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilstream.session import BATCH_BYTES, BATCH_KEY, bound_batches, shipped
 
 
@@ -30,3 +31,10 @@ def test_a_bound_of_the_session_stays(unset):
     unset.conf.set(BATCH_KEY, "1m")
     bound_batches(unset)
     assert unset.conf.get(BATCH_KEY) == "1m"
+
+
+@pytest.mark.parametrize("name", ["language", "near_copies", "secrets", "source_mix", "packing"])
+def test_a_stage_by_itself_bounds_batches(unset, name):
+    docs = unset.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(8)
+    dict(corpus_pipeline.STAGES)[name](unset, docs, "/root/testdata/sf0.001")
+    assert unset.conf.get(BATCH_KEY) == BATCH_BYTES
