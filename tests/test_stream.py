@@ -171,7 +171,7 @@ def scattered(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["stream_cells_e1", "stream_partitioned"])
+@pytest.mark.parametrize("name", ["stream_cells_e1", "stream_released_e1", "stream_partitioned"])
 def test_a_stream_of_many_triggers_gives_the_batch_result(spark, scattered, monkeypatch, name):
     monkeypatch.setattr(stream_queries, "FILE_ROWS", 100, raising=False)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
